@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .avi import store_texts
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -10,5 +11,9 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op4_avi_mjpeg(spark, sf_dir):
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_avi_mjpeg)}
 ORACLE_SQL: dict[str, str] = {}

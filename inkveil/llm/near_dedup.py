@@ -8,9 +8,11 @@ root.  At similarity s a pair shares no table with a probability below
 
 Work runs on one representative per distinct shingle set.  In the first round each bucket
 links its members to its smallest one, which is linear in the rows; links are confirmed on
-full sets and joined into components.  The second round looks only at buckets that still hold
-several components and confirms every pair across them that can reach the threshold by size
-and by its half-keys.  A pair within one component changes no component and is left out.
+full sets and joined into components.  The second round takes the buckets that still hold several
+components and confirms every pair across them; a pair within one component changes no
+component and is left out.  Pairs are confirmed only where size and odd sketch allow a
+link: the sketch holds the parity of the shingles that fall on each of 1024 bits, so two
+sketches differ in at most as many bits as the sets differ in shingles, and no link is lost.
 """
 
 from __future__ import annotations
@@ -53,15 +55,26 @@ def shingle_sets(texts, words: int = 5):
             yield i, sets
 
 
-def signatures(docs: DataFrame, words: int = 5, m: int = 12, half: int = 2, seed: int = 7) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (128 bits of the set), left and right half-keys of each text."""
+#: Longs of an odd sketch.
+SKETCH = 16
+
+
+def odd_sketch(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH) longs: parity of the set elements that fall on each bit."""
+    bit = (mix(flat * U(0xC2B2AE3D27D4EB4F)) & U(SKETCH * 64 - 1)).astype(np.int64)
+    odd = np.bincount(row * (SKETCH * 64) + bit, minlength=n * SKETCH * 64).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(n, SKETCH)
+
+
+def signatures(docs: DataFrame, words: int = 5, m: int = 11, half: int = 2, seed: int = 7) -> DataFrame:
+    """doc_id, n_shingles, k1, k2 (128 bits of the set), left and right half-keys, sketch."""
 
     def sign(batches):
         rng = np.random.default_rng(seed)
         mul = rng.integers(1, 1 << 63, 2 * m * half, dtype=np.uint64) * U(2) + U(1)
         xor = rng.integers(0, 1 << 63, 2 * m * half, dtype=np.uint64)
         for batch in batches:
-            n_all, ks, halves = [], [], []
+            n_all, ks, halves, sketches = [], [], [], []
             for _, sets in shingle_sets(batch.column("text"), words):
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
@@ -81,6 +94,7 @@ def signatures(docs: DataFrame, words: int = 5, m: int = 12, half: int = 2, seed
                                 key = mix(key * U(0x9E3779B97F4A7C15) + low)
                             keys[full, c] = key
                 n_all.append(sizes)
+                sketches.append(odd_sketch(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets)))
                 ks.append(k12)
                 halves.append(keys)
             if not n_all:
@@ -88,12 +102,14 @@ def signatures(docs: DataFrame, words: int = 5, m: int = 12, half: int = 2, seed
             n, k12, keys = np.concatenate(n_all), np.concatenate(ks).view(np.int64), np.concatenate(halves).view(np.int64)
             row = np.arange(0, (len(n) + 1) * m, m, dtype=np.int32)
             lists = [pa.ListArray.from_arrays(row, np.ascontiguousarray(x).ravel()) for x in (keys[:, :m], keys[:, m:])]
+            sketch = np.concatenate(sketches)
+            lists.append(pa.ListArray.from_arrays(np.arange(0, (len(n) + 1) * SKETCH, SKETCH, dtype=np.int32), sketch.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k12[:, 0].copy()), pa.array(k12[:, 1].copy()), *lists],
-                names=["doc_id", "n_shingles", "k1", "k2", "left", "right"],
+                names=["doc_id", "n_shingles", "k1", "k2", "left", "right", "sketch"],
             )
 
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, left array<long>, right array<long>"
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, left array<long>, right array<long>, sketch array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
 
 
@@ -145,7 +161,14 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int = 12, half: int = 2) -> DataFrame:
+def _can_link(percent: int) -> Column:
+    """Whether the sizes and sketches of a and b allow a link; the link itself is confirmed on the sets."""
+    differ = "+".join(f"bit_count(a.s{i} ^ b.s{i})" for i in range(SKETCH))
+    # 100 * common >= percent * union bounds the symmetric difference by this share of na + nb.
+    return F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND ({differ}) * {100 + percent} <= (a.n + b.n) * {100 - percent}")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int = 11, half: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
 
     Null and empty texts, and texts of white space, have no shingles and are linked with
@@ -157,32 +180,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
     sig = cut(signatures(docs, words, m, half))
     real = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    reps = cut(reps.select(F.col("doc_id").alias("r"), F.col("n_shingles").alias("n"), "left", "right"))
+    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
+    sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    reps = cut(reps.select(F.col("doc_id").alias("r"), F.col("n_shingles").alias("n"), "left", "right", *sketch))
+    lean = reps.drop("left", "right")
     rows = reps.select("r", F.explode(_tables(m, "left", "right")).alias("key"))
     shared = cut(rows.groupBy("key").agg(F.min("r").alias("x"), F.max("r").alias("most")).filter("x < most").select("key", "x"))
     member = cut(rows.join(shared, "key").select("key", "r", "x"))
-    pairs = cut(member.filter("r > x").select("x", F.col("r").alias("y")).distinct())
-    first = cut(_confirm(pairs, docs, words, percent))
-    label = components(first)
-
-    # Buckets that still hold several components: every pair across them that can be a link.
-    named = member.select("key", "r").join(label.select(F.col("v").alias("r"), "c"), "r", "left").withColumn("c", F.coalesce("c", "r"))
-    named = cut(named)
-    mixed = cut(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi AND size > 2").select("key"))
-    left = named.join(mixed, "key", "left_semi").join(reps, "r")
-    left = cut(left.select("key", "r", "c", "n", "left", "right"))
-    a, b = (left.select("key", *[F.col(k).alias(f"{k}{s}") for k in ("r", "c", "n", "left", "right")]) for s in "ab")
-    # Each pair is looked at in its first shared table only.
-    agree = "size(filter(arrays_zip({0}a, {0}b), z -> z.{0}a = z.{0}b))"
-    place = "array_position(transform(arrays_zip({0}a, {0}b), z -> z.{0}a = z.{0}b), true) - 1"
-    side = [place.format(x) for x in ("left", "right")]
-    near = a.join(b, "key").filter(f"ra < rb AND ca != cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    near = near.filter(f"key = xxhash64(cast({side[0]} as int), cast({side[1]} as int), lefta[{side[0]}], righta[{side[1]}])")
-    near = near.filter(f"{agree.format('left')} + {agree.format('right')} >= {max(2, m // 3)}")
-    late = near.select(F.col("ra").alias("x"), F.col("rb").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    second = cut(_confirm(cut(late), docs, words, percent))
-    label = components(first.union(second)) if not second.isEmpty() else label
+
+    def links(pairs: DataFrame) -> DataFrame:
+        a, b = lean.withColumnRenamed("r", "x").alias("a"), lean.withColumnRenamed("r", "y").alias("b")
+        able = pairs.join(a, "x").join(b, "y").filter(_can_link(percent)).select("x", "y")
+        return cut(_confirm(cut(able), docs, words, percent))
+
+    def mixed(label: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components."""
+        named = member.select("key", "r").join(label.select(F.col("v").alias("r"), "c"), "r", "left").withColumn("c", F.coalesce("c", "r"))
+        named = cut(named)
+        some = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi AND size > 2")
+        return cut(named.join(some.select("key"), "key", "left_semi"))
+
+    tried = cut(member.filter("r > x").select("x", F.col("r").alias("y")).distinct())
+    found = links(tried)
+    label = components(found)
+
+    rest = mixed(label)
+    rest = cut(rest.join(lean, "r"))
+    a, b = (rest.withColumnRenamed("r", n).alias(s) for n, s in (("x", "a"), ("y", "b")))
+    across = a.join(b, F.expr("a.key = b.key AND x < y AND a.c != b.c") & _can_link(percent)).select("x", "y").distinct()
+    across = cut(across.join(tried, ["x", "y"], "left_anti"))
+    more = cut(_confirm(across, docs, words, percent))
+    if not more.isEmpty():
+        label = components(found.union(more))
 
     out = sig.join(classes, ["k1", "k2", "n_shingles"], "left").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("c", "rep", "doc_id")).otherwise(F.col("doc_id"))
