@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from .avi import store_texts
 from .common import table
+from .html_text import extract
+from .langid import identify
 from .near_dedup import near_duplicates
+from .pii import find_pii
+from .toxicity import detect_toxicity
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
@@ -15,5 +19,21 @@ def op4_avi_mjpeg(spark, sf_dir):
     return store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_avi_mjpeg)}
+def op6_html_text(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_avi_mjpeg, op6_html_text, op7_toxicity, op9_langid, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
