@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from .avi import store_texts
 from .common import table
+from .decontaminate import contaminated
 from .html_text import extract
+from .kd_shards import shard_documents
 from .langid import identify
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .ngram_lm import score
 from .pii import find_pii
 from .toxicity import detect_toxicity
 
 
+def op1_decontaminate(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op4_avi_mjpeg(spark, sf_dir):
     return store_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_stupid_backoff(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
@@ -27,6 +43,10 @@ def op7_toxicity(spark, sf_dir):
     return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_kd_shards(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
@@ -35,5 +55,8 @@ def op10_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_avi_mjpeg, op6_html_text, op7_toxicity, op9_langid, op10_pii)}
+_ALL = (op1_decontaminate, op2_minhash_near_dedup, op3_mix_sources, op4_avi_mjpeg, op5_stupid_backoff, op6_html_text, op7_toxicity, op8_kd_shards, op9_langid, op10_pii)
+QUERIES = {f.__name__: f for f in _ALL}
+
+#: None of the ten is plain SQL over the tables; each is tested against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -271,7 +271,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.7).astype(np.int32)), *rest], names=["doc_id", "held_out", "score", "predicted", *keep])
 
     held = F.coalesce(F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"), *keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("__text"), *keep)
     more = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + more)
 
