@@ -374,28 +374,30 @@ def polygon_boxes(spark, d):
 
 
 def _requests(spark, d):
-    """A request per order: its customer, date and key as tags, its lines as boxes."""
-    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    word = F.regexp_replace("c_mktsegment", "[^A-Z]", "")
-    tags = F.array(*[F.struct(F.lit(i).alias("tag_pos"), F.lit(n).alias("tag"), v.alias("value")) for i, (n, v) in enumerate((("PatientName", F.concat(word, F.lit("^"), F.lower("o_orderpriority"))), ("PatientBirthDate", F.date_format("o_orderdate", "yyyyMMdd")), ("PatientID", (F.col("o_custkey") + 96000000).cast("string"))))])
-    base = o.select(F.col("o_orderkey").alias("request_id"), F.explode(tags).alias("t")).select("request_id", "t.*")
-    noisy = F.translate(word, "EO", "C0")
-    texts = F.array(F.concat(noisy, F.lit(","), (F.col("o_custkey") + 96000000).cast("string")), F.date_format("o_orderdate", "dd"), F.date_format("o_orderdate", "MM"), F.date_format("o_orderdate", "yyyy"), F.lit("SIEMENS"))
-    boxes = o.select(F.col("o_orderkey").alias("request_id"), F.posexplode(texts).alias("box_id", "text"))
+    """A request per supplier: nation, a date and a number as tags, and noisy boxes of the same."""
+    nation = t(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    key, word = F.col("s_suppkey"), F.upper("n_name")
+    day, number = F.date_add(F.lit("1950-01-15").cast("date"), (key % 9000).cast("int")), (key + 96000000).cast("string")
+    s = t(spark, d, "supplier").join(nation, "s_nationkey").select(key.alias("request_id"), word.alias("word"), day.alias("day"), number.alias("number"))
+    tags = [("PatientName", F.concat("word", F.lit("^anna"))), ("PatientBirthDate", F.date_format("day", "yyyyMMdd")), ("PatientID", F.col("number"))]
+    tags = F.array(*[F.struct(F.lit(i).alias("tag_pos"), F.lit(n).alias("tag"), v.alias("value")) for i, (n, v) in enumerate(tags)])
+    texts = F.array(F.concat(F.translate("word", "EO", "C0"), F.lit(","), F.col("number")), F.date_format("day", "dd"), F.date_format("day", "MM"), F.date_format("day", "yyyy"), F.lit("SIEMENS"))
+    boxes = s.select("request_id", F.posexplode(texts).alias("box_id", "text"))
     x = F.when(F.col("box_id") == 0, 0).otherwise(F.col("box_id") * 60)
     y = F.when(F.col("box_id").isin(0, 4), F.col("box_id") * 40).otherwise(60)
-    return boxes.select("*", *[c.cast("double").alias(n) for c, n in ((x, "x_min"), (y, "y_min"), (x + F.when(F.col("box_id") == 0, 300).otherwise(40), "x_max"), (y + 20, "y_max"))]), base
+    box = ((x, "x_min"), (y, "y_min"), (x + F.when(F.col("box_id") == 0, 300).otherwise(40), "x_max"), (y + 20, "y_max"))
+    return boxes.select("*", *[c.cast("double").alias(n) for c, n in box]), s.select("request_id", F.explode(tags).alias("t")).select("request_id", "t.*")
 
 
 @query()
 def detect_sensitive(spark, d):
-    """Masked boxes of every order's request (a plain-Python check is in the tests)."""
+    """Masked boxes of every supplier's request (a plain-Python check is in the tests)."""
     boxes, tags = _requests(spark, d)
     return api.sensitive_boxes(boxes, tags).select("request_id", "box_id", "group_id", "text", "x_min", "y_min", "x_max", "y_max")
 
 
 @query()
 def report_sensitive(spark, d):
-    """Tags found in every order's request."""
+    """Tags found in every supplier's request."""
     boxes, tags = _requests(spark, d)
     return api.report_tags(boxes, tags)
