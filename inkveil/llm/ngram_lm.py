@@ -117,7 +117,7 @@ def score(docs: DataFrame, group_bytes: int = 16 << 20) -> DataFrame:
         seen = both > 0
         base = np.where(word > 0, word, np.where(later, 1, BACKOFF)) / rest
         p = np.where(seen, both / np.maximum(before, 1), np.where(later, BACKOFF, 1.0) * base)
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
+        add = lambda x: np.bincount(doc, weights=x, minlength=len(n)).astype(float)
         log = add(np.log10(p))
         return pa.table({
             "doc_id": t.column("doc_id"), "n_words": pa.array(n.astype(np.int64)), "log10_score": pa.array(log), "per_word": pa.array(log / np.maximum(n, 1)),
