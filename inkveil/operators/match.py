@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import can_partial, can_ratio, fuzz_partial_ratio, fuzz_ratio, max_edits
+from inkveil.operators.settle import settle
 
 MAX_RUN = 5
 
@@ -91,23 +92,23 @@ def _bare(c: str):
 
 def run_hits(texts: DataFrame, terms: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes of the shortest matching run from each start that themselves resemble a member term."""
-    every = runs(texts, next_boxes(texts).persist()).filter(F.length("combined") >= 4)
+    every = settle(runs(texts, settle(next_boxes(texts))).filter(F.length("combined") >= 4))
     split = terms.filter("instr(term, ' ') > 0 OR (length(term) >= 6 AND term rlike '[0-9]')").select(*keys, "term").distinct()
     pairs = every.join(split, "request_id").filter(F.length("combined") >= F.lit(0.6) * F.length("term"))
     words = F.split("combined", " ")
     tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
     pairs = pairs.withColumn("tail", F.explode(tails)).filter(F.length("tail") >= F.lit(0.6) * F.length("term"))
-    pairs = pairs.persist()
+    pairs = settle(pairs)
     whole = F.col("tail") == F.col("combined")
     bare = pairs.filter(whole | (F.length(_bare("tail")) >= F.lit(0.85) * F.length("term"))).withColumn("tail", _bare("tail"))
     near = pairs.unionByName(bare).filter(can_ratio(F.col("tail"), F.col("term"), 85)).filter(fuzz_ratio("tail", "term") >= 85)
     part = pairs.filter(whole & (F.length("combined") <= F.lit(1.3) * F.length("term")) & can_partial(F.col("combined"), F.col("term"), 90))
     part = part.filter(fuzz_partial_ratio("combined", "term") >= 90)
-    matched = near.unionByName(part).select(*keys, "start_id", "hop", "box_ids").distinct()
+    matched = settle(near.unionByName(part).select(*keys, "start_id", "hop", "box_ids").distinct())
     first = Window.partitionBy(*keys, "start_id")
     boxes = matched.withColumn("least", F.min("hop").over(first)).filter("hop = least").select(*keys, F.explode("box_ids").alias("box_id")).distinct()
     own = boxes.join(texts.select("request_id", "box_id", "norm"), ["request_id", "box_id"]).filter("norm <> ''")
-    own = own.join(members.select(*keys, "term").distinct(), keys).filter("term <> ''").persist()
+    own = settle(own.join(members.select(*keys, "term").distinct(), keys).filter("term <> ''"))
     number = F.exists(F.split("norm", r"\s+"), lambda t: t.rlike("^[0-9]{4,}$") & F.contains(F.col("term"), t))
     # A text inside a term, or around one, scores 100; only boxes without such a term are scored.
     sure = own.filter(number | F.contains("term", "norm") | F.contains("norm", "term")).select(*keys, "box_id").distinct()
@@ -120,11 +121,10 @@ def run_hits(texts: DataFrame, terms: DataFrame, members: DataFrame, keys: list[
 def detect(texts: DataFrame, terms: DataFrame, by_tag: bool = False) -> DataFrame:
     """Hits (request_id[, tag], box_id): single boxes, then their siblings, then runs of boxes."""
     keys = ["request_id", "tag"] if by_tag else ["request_id"]
-    # Each side is dealt out by request once and kept, spilling to disk, as every join reads it;
-    # a lost part is computed anew.
+    # Each side is dealt out by request and written once, as every join reads it.
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts, terms = texts.repartition(parts, "request_id").persist(), terms.repartition(parts, "request_id").persist()
+    texts, terms = settle(texts.repartition(parts, "request_id")), settle(terms.repartition(parts, "request_id"))
     lookup = terms.filter("in_lookup") if "in_lookup" in terms.columns else terms
-    one = fuzzy_hits(texts, lookup, keys).union(token_hits(texts, lookup, keys)).union(name_hits(texts, terms, keys)).distinct()
+    one = settle(fuzzy_hits(texts, lookup, keys).union(token_hits(texts, lookup, keys)).union(name_hits(texts, terms, keys)).distinct())
     more = sibling_hits(texts, lookup, one, keys)
-    return one.union(more).union(run_hits(texts, lookup, terms, keys)).distinct()
+    return settle(one.union(more).union(run_hits(texts, lookup, terms, keys)).distinct())

@@ -17,6 +17,7 @@ from inkveil.functions.text import normalize_text
 from inkveil.operators.color import group_by_color
 from inkveil.operators.geometry import grow, rectangle
 from inkveil.operators.match import detect
+from inkveil.operators.settle import settle
 from inkveil.sources.requests import NO_LIST, NOTHING, check, tag_rows
 
 SPECIAL = ("PatientName", "PatientSex", "PatientBirthDate", "StudyDate", "PatientAge")
@@ -72,7 +73,7 @@ def recognise(images: DataFrame, backend: OcrBackend) -> DataFrame:
 
 def sensitive_boxes(boxes: DataFrame, tags: DataFrame) -> DataFrame:
     """Split boxes that hold sensitive text, in reading order."""
-    texts = prepare(boxes).persist()
+    texts = settle(prepare(boxes))
     return texts.join(detect(texts, build_terms(tags)), ["request_id", "box_id"], "left_semi")
 
 
@@ -97,7 +98,7 @@ def deidentify(requests: DataFrame, backend: OcrBackend, codec=None) -> DataFram
     """(request_id, status, error, masks, message, sop_instance_uid) of request rows."""
     images, bad, idle = _images(requests, codec)
     tags = tag_rows(images)
-    hits = sensitive_boxes(recognise(images, backend).persist(), tags)
+    hits = sensitive_boxes(settle(recognise(images, backend)), tags)
     x = [F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]
     grown = hits.select("request_id", F.col("box_id").alias("ord"), *[c.alias(n) for c, n in zip(grow(*x), ("x1", "y1", "x2", "y2"))])
     painted = grown.join(images.select("request_id", "pixels"), "request_id").withColumn("color", box_color("pixels", "x1", "y1", "x2", "y2")).filter("color IS NOT NULL")
@@ -113,7 +114,7 @@ def deidentify(requests: DataFrame, backend: OcrBackend, codec=None) -> DataFram
 def report(requests: DataFrame, backend: OcrBackend, codec=None) -> DataFrame:
     """(request_id, status, error, detected_tags, message, sop_instance_uid) of request rows."""
     images, bad, idle = _images(requests, codec)
-    found = report_tags(recognise(images, backend).persist(), tag_rows(images))
+    found = report_tags(settle(recognise(images, backend)), tag_rows(images))
     done = images.select("request_id", "sop_instance_uid").join(found, "request_id", "left").withColumn("detected_tags", F.coalesce("detected_tags", F.array().cast("array<string>")))
     n = F.size("detected_tags")
     message = F.when(n > 0, F.concat(n.cast("string"), F.lit(" sensitive tags detected"))).otherwise(F.lit(NOTHING))

@@ -41,13 +41,20 @@ def test_image_kernels():
     assert (paint(image, [("1 1 8 8", "ff0000")])[5, 5] == [0, 0, 255]).all()
 
 
-@pytest.mark.skip(reason="did not end within 150 s; the outcome is unknown")
-def test_deidentify_and_report(spark):
+@pytest.mark.parametrize(
+    "center, width",
+    [
+        # A window of 256 from 0 brings 255 to 254, as test_image_kernels has it, so 'ffffff' cannot come out.
+        pytest.param(128.0, 256.0, marks=pytest.mark.xfail(strict=True, reason="the expected colour contradicts the window rule")),
+        (127.5, 255.0),
+    ],
+)
+def test_deidentify_and_report(spark, center, width):
     class Stub:
         def detect(self, image):
             return ["john", "hello"], [[1, 1, 7, 7], [1, 8, 9, 9]]
 
-    base = {"image": bytes([255] * 100), "content_type": "image/raw", "rows": 10, "columns": 10, "bits_allocated": 8, "samples_per_pixel": 1, "window_center": 128.0, "window_width": 256.0}
+    base = {"image": bytes([255] * 100), "content_type": "image/raw", "rows": 10, "columns": 10, "bits_allocated": 8, "samples_per_pixel": 1, "window_center": center, "window_width": width}
     cases = [("1", '{"PatientName":"Smith^John"}'), ("2", "{}"), ("3", "not json"), ("4", '["a"]')]
     rows = [{"request_id": int(i), "sensitive_data_list": j, "sop_instance_uid": None, **base} for i, j in cases]
     rows.append({**rows[0], "request_id": 5, "content_type": "text/plain"})
@@ -63,7 +70,6 @@ def test_deidentify_and_report(spark):
     assert seen[1].detected_tags == ["PatientName"]
 
 
-@pytest.mark.skip(reason="did not end within 150 s; the outcome is unknown")
 def test_detection_cases(spark):
     boxes = [("ABC -", 0, 0, 50), ("Gynecology", 60, 0, 160), ("GYN", 0, 100, 40), ("Date naiss.", 0, 200, 110), ("1928", 89, 200, 140), ("/ 03 / 03", 180, 200, 260)]
     df = spark.createDataFrame([(1, i, t, float(x), float(y), float(x2), float(y + 20)) for i, (t, x, y, x2) in enumerate(boxes)], "request_id long, box_id int, text string, x_min double, y_min double, x_max double, y_max double")
