@@ -391,7 +391,7 @@ def _requests(spark, d):
 
 @query()
 def detect_sensitive(spark, d):
-    """Masked boxes of every supplier's request (a plain-Python check is in the tests)."""
+    """Masked boxes of every supplier's request."""
     boxes, tags = _requests(spark, d)
     return api.sensitive_boxes(boxes, tags).select("request_id", "box_id", "group_id", "text", "x_min", "y_min", "x_max", "y_max")
 
