@@ -156,8 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, a
     slots = items.select(F.pmod("window", F.lit(1 << BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[slots] = True
-    short = benchmark.filter("size(split(trim(text), '\\\\s+')) < " + str(4 * WINDOW)).select("item_id").limit(1).count()
-    hits = _rows(docs, "doc_id", list(range(SHORTEST, WINDOW + 1)) if short and _has_short(items) else [WINDOW], np.packbits(bitmap).tobytes())
+    hits = _rows(docs, "doc_id", list(range(SHORTEST, WINDOW + 1)) if _has_short(items) else [WINDOW], np.packbits(bitmap).tobytes())
     right = items.select(F.col("id").alias("item_id"), "window", F.col("place").alias("ip"), "n_windows", F.col("slots").alias("islots")).distinct()
     both = hits.select(F.col("id").alias("doc_id"), "window", "slots").join(right, "window")
     both = cut(both.select("doc_id", "item_id", "ip", "n_windows", "islots", "slots").distinct())

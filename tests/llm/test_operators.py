@@ -161,6 +161,13 @@ def test_decontamination(spark, docs):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == {(1, 9), (2, 9), (5, 9)}
 
 
+def test_long_item_of_few_template_words(spark):
+    item = "red " + "- " * 40 + "fox runs far"
+    df = spark.createDataFrame([(1, f"so the {item} away"), (2, "red fox")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == {(1, 9)}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert not mixing.mix(empty).collect() and not avi.store_texts(empty).collect() and not pii.find_pii(empty).collect() and not langid.identify(empty).collect()
