@@ -4,6 +4,7 @@ Every element gets C characters, T tags, LC characters and LT tags inside links,
 density C/T scaled by a logarithm that falls with the share of links.  The element whose
 children have the greatest sum of densities holds the article; the least density on the path
 from the densest element to the body is the threshold that elements must reach to be chosen.
+Further elements that reach it add theirs, so an article in several sections is whole.
 Elements that are boilerplate by tag, role, class or id are taken out first.
 """
 
@@ -35,6 +36,10 @@ _SCOPE = frozenset("html body table td th caption button object template article
 _PAIRS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SHUT_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 
+_HOLDERS = ("article", "main")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_PROSE = frozenset(("p", "li", "pre", "blockquote", "ul", "ol", *_HEADINGS))
+
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -142,21 +147,80 @@ def _count(root: Node) -> list[Node]:
     return order
 
 
+def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite density of c characters and t tags; counts of 0 that divide are taken as 1, so text without links has one too."""
+    if not c:
+        return 0.0
+    t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / t * math.log(c / lc * t / lt + 1) / math.log(base)
+
+
 def _densities(order: list[Node]) -> None:
     body = order[0]
     share = body.link_chars / max(body.chars, 1)
     for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            node.density = c / t * math.log(c / max(lc, 1) * t / lt + 1) / max(math.log(base + 1e-9), 0.1) if base > 1 else 0.0
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        # Text straight in an element counts as a child of its own.
+        node.total += _density(sum(len(x.strip()) for x in node.parts if isinstance(x, str)), 1, 0, 0, share)
     for node in order[1:]:
         node.parent.total += node.density
 
 
-def _text(node: Node) -> str:
+def _within(node: Node | None, tags) -> Node | None:
+    """The nearest of the node and what holds it with one of the tags."""
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node
+
+
+def _chosen(order: list[Node]) -> tuple[list[Node], bool]:
+    """The elements that hold the article, in page order; one may hold another.  And whether text straight in the body belongs to it."""
+    root = order[0]
+    densest = max(order, key=lambda n: n.density)
+    least, up = densest.density, densest
+    while up is not None:
+        least, up = min(least, up.density), up.parent
+    peak = {}
+    for node in reversed(order):
+        peak[node] = max([node, *(peak[x] for x in node.children if not x.drop)], key=lambda n: n.total)
+    best = peak[root]
+    # Every dense element, under dense elements, gives the one of the greatest sum in it.
+    marks, reached = set(), {root}
+    for node in order[1:]:
+        if node.parent in reached and node.density >= least:
+            reached.add(node)
+            marks.add(peak[node])
+    holder = _within(best, _HOLDERS)
+    if holder is not None:
+        held = {_within(n, _HOLDERS) for n in marks} - {None}
+        return [n for n in order if n is holder or n in held], False
+    # A paragraph's inline markup or one paragraph of an article: the element that holds the article whole.
+    while best.parent is not None and (best.tag not in BLOCK or best.tag in _PROSE):
+        best = best.parent
+    if best is root:
+        # Straight in the body: its prose stays, and of the containers those that are dense.
+        return [n for n in root.children if not n.drop and (n.density >= least or n.tag not in BLOCK or n.tag in _PROSE)], True
+    marks.add(best)
+    # Headings that stand before a chosen element belong to it.
+    heads = set()
+    for up in {n.parent for n in marks}:
+        before = []
+        for x in up.children:
+            if x in marks:
+                heads.update(before)
+            elif x.tag in _HEADINGS and not x.drop:
+                before.append(x)
+    return [n for n in order if n in marks or n in heads], False
+
+
+def _text(node: Node, only: list[Node] | None = None) -> str:
+    """The text of an element; with ``only``, of these of its descendants and the text straight in it."""
     out: list[str] = []
     todo: list = [node]
+    if only is not None:
+        keep = set(only)
+        todo = [x for x in reversed(node.parts) if isinstance(x, str) or x in keep]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -179,24 +243,17 @@ def main_text(page: str | None) -> str:
     if not root.chars:
         return ""
     _densities(order)
-    densest = max(order, key=lambda n: n.density)
-    least, up = densest.density, densest
-    while up is not None:
-        least, up = min(least, up.density), up.parent
-    best = max((n for n in order if n.density >= least), key=lambda n: n.total)
-    if not best.total:  # text straight in the body
-        best = root
-    # A paragraph's inline markup or the body of an article: the element that holds the article whole.
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    else:
-        while best.parent is not None and (best.tag not in BLOCK or best.tag in ("p", "li", "pre", "blockquote", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6")):
-            best = best.parent
-    return _text(best)
+    chosen, straight = _chosen(order)
+    if straight:
+        return _text(root, chosen)
+    kept, out = set(chosen), []
+    for node in chosen:
+        up = node.parent
+        while up is not None and up not in kept:
+            up = up.parent
+        if up is None:
+            out.append(_text(node))
+    return " ".join(x for x in out if x)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

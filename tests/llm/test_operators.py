@@ -114,6 +114,18 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_html_without_links():
+    paras = [f"{w} " * 40 for w in ("one", "two", "three", "four")]
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    whole = " ".join(" ".join(p.split()) for p in paras)
+    assert html_text.main_text(f"<body><div>Home About</div><div><h1>T</h1>{body}</div><div>All rights</div></body>") == "T " + whole
+    assert html_text.main_text(f"<body><div>Home</div><article>{body}<p>end</p></article><div>All rights</div></body>") == whole + " end"
+    halves = ["".join(f"<p>{p}</p>" for p in paras[k : k + 2]) for k in (0, 2)]
+    assert html_text.main_text(f"<div>Home</div><div><section>{halves[0]}</section><h2>Next</h2><section>{halves[1]}</section></div><div>Legal</div>").replace("Next ", "") == whole
+    assert html_text.main_text(f"<div>Home</div><div>{paras[0]}<br>{paras[1]}</div><div>Legal</div>") == " ".join(whole.split()[:80])
+    assert html_text.main_text(f"<h1>T</h1><p>{paras[0]}</p><p>short</p><div>Legal</div>") == "T " + " ".join(paras[0].split()) + " short"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, None, "<p>x y</p>", 5), (None, "u", None, 6)], "page_id long, url string, html string, n_chars int")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "x y", 3), (None, "", 0)}
