@@ -4,15 +4,17 @@ Numbers, names (capitalised words inside a sentence; a run of them counts as one
 after numbers become typed placeholders, all other words lose their case and outer
 punctuation.  Windows of ``WINDOW`` template words of documents and of benchmark items are
 hashed and joined.  A document holds an item if its windows cover enough of the item's, and
-if the values in the slots can be renamed one to one: a question with new numbers is caught,
-two texts that only share a form with unrelated fillings are not.
+if the values in the slots can be renamed: one to one over the whole document, or slot by slot
+in one occurrence, where a number may stand for any and a name keeps one partner.  A question
+with new numbers is caught, however many variants of it a text holds; two texts that only
+share a form with inconsistent names are not.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, buffers, chunks, cut, fold_upper, mix, word_bounds, word_hashes
@@ -103,7 +105,7 @@ def _windows(shape: np.ndarray, doc: np.ndarray, size: int):
     return h[at], at
 
 
-_SCHEMA = "id long, window long, place int, n_windows int, kinds array<long>, slots array<long>"
+_SCHEMA = "id long, window long, place int, n_windows int, kinds array<long>, slots array<long>, at array<int>"
 
 
 def _rows(table: DataFrame, key: str, sizes: list[int] | None, bits: bytes | None) -> DataFrame:
@@ -115,7 +117,7 @@ def _rows(table: DataFrame, key: str, sizes: list[int] | None, bits: bytes | Non
         for batch in batches:
             ids = np.array(batch.column(0).to_numpy(zero_copy_only=False))
             buf, off = buffers(batch.column(1))
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for i, j in chunks(off):
                 shape, value, doc = templates(buf[off[i] : off[j]], off[i : j + 1] - off[i], units)
                 count = np.bincount(doc, minlength=j - i) if len(doc) else np.zeros(j - i, int)
@@ -132,10 +134,10 @@ def _rows(table: DataFrame, key: str, sizes: list[int] | None, bits: bytes | Non
                     for w, p in zip(h.view(np.int64).tolist(), at.tolist()):
                         d = int(doc[p])
                         slot = np.flatnonzero(np.isin(shape[p : p + size], _HOLDERS))
-                        for col, x in zip(out, (int(ids[i + d]), w, p - int(begin[d]), int(many[d]) if sizes is None else 0, shape[p + slot].view(np.int64).tolist(), value[p + slot].view(np.int64).tolist())):
+                        for col, x in zip(out, (int(ids[i + d]), w, p - int(begin[d]), int(many[d]) if sizes is None else 0, shape[p + slot].view(np.int64).tolist(), value[p + slot].view(np.int64).tolist(), slot.tolist())):
                             col.append(x)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "window", "place", "n_windows", "kinds", "slots"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "window", "place", "n_windows", "kinds", "slots", "at"])
 
     rows = table.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _SCHEMA)
@@ -157,20 +159,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, a
     bitmap = np.zeros(1 << BITS, bool)
     bitmap[slots] = True
     hits = _rows(docs, "doc_id", list(range(SHORTEST, WINDOW + 1)) if _has_short(items) else [WINDOW], np.packbits(bitmap).tobytes())
-    right = items.select(F.col("id").alias("item_id"), "window", F.col("place").alias("ip"), "n_windows", F.col("slots").alias("islots")).distinct()
-    both = hits.select(F.col("id").alias("doc_id"), "window", "slots").join(right, "window")
-    both = cut(both.select("doc_id", "item_id", "ip", "n_windows", "islots", "slots").distinct())
+    right = items.select(F.col("id").alias("item_id"), "window", F.col("place").alias("ip"), "n_windows", F.col("kinds").alias("ikinds"), F.col("slots").alias("islots"), F.col("at").alias("iplaces")).distinct()
+    both = hits.select(F.col("id").alias("doc_id"), "window", "place", "slots").join(right, "window")
+    both = both.withColumn("shift", F.col("place") - F.col("ip"))
+    both = cut(both.select("doc_id", "item_id", "shift", "ip", "n_windows", "ikinds", "islots", "iplaces", "slots").distinct())
     cover = both.groupBy("doc_id", "item_id").agg(F.countDistinct("ip").alias("matched"), F.max("n_windows").alias("n_windows"))
     cover = cover.filter(F.col("matched") >= F.lit(coverage) * F.col("n_windows"))
-    pairs = both.select("doc_id", "item_id", F.explode(F.arrays_zip("islots", "slots")).alias("z")).select("doc_id", "item_id", F.col("z.islots").alias("i"), F.col("z.slots").alias("d")).distinct()
-    # A value keeps one partner if, of the values it meets, one is met throughout: the number of pairs is the number of values.
-    agree = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("i").alias("ni"), F.countDistinct("d").alias("nd"), F.count("*").alias("np"), F.sum(F.expr("if(i = d, 1, 0)")).alias("same"))
-    agree = agree.select("doc_id", "item_id", F.col("ni").alias("n_slots"), F.greatest(F.least("ni", "nd") / F.col("np"), F.col("same") / F.col("ni")).alias("agreement"))
-    out = cover.join(agree, ["doc_id", "item_id"], "left")
-    out = out.select("doc_id", "item_id", "matched", "n_windows", (F.col("matched") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+    agree = _agreement(both.withColumn("o", F.lit(0)), False)
+    # Places of an item whose shifts differ by less than half its length are one occurrence with an edit in it.
+    shifts = both.groupBy("doc_id", "item_id", "shift").agg(F.max("n_windows").alias("n"))
+    by = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    new = F.coalesce(2 * (F.col("shift") - F.lag("shift").over(by)) >= F.col("n") + WINDOW - 1, F.lit(True)).cast("int")
+    shifts = shifts.withColumn("new", new).withColumn("o", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("n", "new")
+    placed = both.join(shifts, ["doc_id", "item_id", "shift"])
+    whole = placed.groupBy("doc_id", "item_id", "o").agg(F.countDistinct("ip").alias("matched"), F.max("n_windows").alias("n_windows"))
+    whole = whole.filter(F.col("matched") >= F.lit(coverage) * F.col("n_windows")).select("doc_id", "item_id", "o")
+    # An occurrence without slots agrees.
+    held = whole.join(_agreement(placed, True), ["doc_id", "item_id", "o"], "left").groupBy("doc_id", "item_id").agg(F.max(F.coalesce("agreement", F.lit(1.0))).alias("best"))
+    out = cover.join(agree.drop("o"), ["doc_id", "item_id"], "left").join(held, ["doc_id", "item_id"], "left")
+    out = out.select("doc_id", "item_id", "matched", "n_windows", (F.col("matched") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.greatest(F.coalesce("agreement", F.lit(1.0)), F.coalesce("best", F.lit(0.0))).alias("agreement"))
     return out.filter(F.col("agreement") >= agreement)
 
 
+def _agreement(both: DataFrame, by_slot: bool) -> DataFrame:
+    """doc_id, item_id, o, n_slots, agreement: the share of values, or of values and slots, that keep one partner."""
+    key = ["doc_id", "item_id", "o"]
+    z = both.select(*key, "ip", F.explode(F.arrays_zip("ikinds", "islots", "slots", "iplaces") if by_slot else F.arrays_zip("islots", "slots")).alias("z"))
+    # Within an occurrence a number or unit is a slot of its own: two that are equal in the item need not be in the copy.
+    item = F.when(F.col("z.ikinds") == F.lit(int(NAME.view(np.int64))), F.col("z.islots")).otherwise(F.xxhash64(F.col("ip") + F.col("z.iplaces"), "z.islots")) if by_slot else F.col("z.islots")
+    own = F.when(F.col("z.ikinds") == F.lit(int(NAME.view(np.int64))), F.col("z.slots")).otherwise(F.xxhash64(F.col("ip") + F.col("z.iplaces"), "z.slots")) if by_slot else F.col("z.slots")
+    pairs = z.select(*key, item.alias("i"), own.alias("d"), (F.col("z.islots") == F.col("z.slots")).alias("equal")).distinct()
+    # A value keeps one partner if, of the values it meets, one is met throughout: the number of pairs is the number of values.
+    sums = pairs.groupBy(*key).agg(F.countDistinct("i").alias("ni"), F.countDistinct("d").alias("nd"), F.count("*").alias("np"), F.sum(F.expr("if(equal, 1, 0)")).alias("same"))
+    return sums.select(*key, F.col("ni").alias("n_slots"), F.greatest(F.least("ni", "nd") / F.col("np"), F.col("same") / F.col("ni")).alias("agreement"))
+
+
 def _has_short(items: DataFrame) -> bool:
     """Whether an item is one window of fewer than WINDOW words."""
     return not items.filter("n_windows = 1").isEmpty()

@@ -173,6 +173,20 @@ def test_decontamination(spark, docs):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == {(1, 9), (2, 9), (5, 9)}
 
 
+def test_variants_in_one_text(spark):
+    item = "A train leaves at 5 km from the town and Mary Ann walks 7 km to meet it there today"
+    copy = lambda a, b, who: item.replace("5", a).replace("7", b).replace("Mary Ann", who)
+    boxes = "In the yard there are 2 boxes and 2 cats and someone has to count all of them"
+    fewer = "In the yard there are 2 boxes and 3 cats and someone has to count all of them"
+    loud = "At noon Anna met the baker and then Anna met the smith and then Anna met the cook of the town"
+    mixed = loud.replace("Anna", "Otto", 1).replace("Anna", "Emil", 1).replace("Anna", "Karl", 1)
+    rows = [(1, f"{copy('12', '30', 'Bob')}. {copy('13', '31', 'Tom')}."), (2, boxes.replace("2 b", "3 b").replace("2 c", "4 c")), (3, fewer.replace("3", "2")), (4, mixed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, boxes), (7, fewer), (6, loud)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 9), (2, 8), (2, 7), (3, 8), (3, 7)}
+
+
 def test_long_item_of_few_template_words(spark):
     item = "red " + "- " * 40 + "fox runs far"
     df = spark.createDataFrame([(1, f"so the {item} away"), (2, "red fox")], "doc_id long, text string")
