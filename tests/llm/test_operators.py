@@ -187,6 +187,16 @@ def test_variants_in_one_text(spark):
     assert got == {(1, 9), (2, 8), (2, 7), (3, 8), (3, 7)}
 
 
+def test_short_items(spark):
+    items = ["Calculate 15 * 23", "What is 12 km + 7 km?", "What is the capital of France?", "Mary Ann Smith lives here now"]
+    rows = [f"Question {k}: {t} and more words" for k, t in enumerate(items)]
+    rows += ["Question 8: What is the capital of Peru?", "Actually Lima is the capital of Peru", "we saw Bob with Mary Ann Lee lives here now", "Calculate 16 * 23", "What is 13 km + 8 m?"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()]
+    assert sorted(got) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2), (6, 3)]
+
+
 def test_long_item_of_few_template_words(spark):
     item = "red " + "- " * 40 + "fox runs far"
     df = spark.createDataFrame([(1, f"so the {item} away"), (2, "red fox")], "doc_id long, text string")
