@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 The documents of a source, in the order of a hash, are one stream of words cut into blocks.
-A source gives whole rounds of its stream and then a number of blocks, drawn by a
-permutation of the block numbers.  The tree deals the blocks of all sources to the output
+A source gives whole rounds of its stream and then a number of blocks, drawn by a seeded
+permutation of the block numbers (swap-or-not).  The tree deals the blocks of all sources to the output
 shards: each node draws how many of each source go left, without replacement, so that every
 shard is a random sample and all quotas are met exactly.  Shards take disjoint ranges of the
-permuted blocks and order them by a hash of their own.
+permuted blocks and order them by a hash of their own.  What a row gives is the sum of its
+pieces of blocks in the shards.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WEIGHTS = (3, 1, 2)
+#: Rounds of the permutation of a source's blocks.
+ROUNDS = 24
 #: More sources than this are refused: their totals are planned on the driver.
 MOST_SOURCES = 100_000
 
@@ -36,7 +39,7 @@ class Share:
     rounds: int = 0
     drawn: int = 0
     rest: int = 0
-    mul: int = 1
+    left: int = 0
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -62,15 +65,38 @@ def plan(totals: list[tuple[str | None, int, int]], share: float = 1.5, most: fl
             words = min(round(target), int(most * size))
             s.rounds = min(words // size, int(most))
             left = words - s.rounds * size
-            s.mul = next(m for m in range(786_433 % s.blocks or 1, 1 << 40) if math.gcd(m, s.blocks) == 1)
-            # The stream's last block may be short; if it is drawn, others make up for it.
-            if (s.mul * (s.blocks - 1)) % s.blocks < left // block:
-                left = min(left + s.blocks * block - size, s.blocks * block)
+            s.left = left
             s.drawn, s.rest = left // block, left % block
         out.append(s)
     return out
 
 
+def permuted(block: str, blocks: str = "blocks") -> str:
+    """SQL of a block's place in the permutation of its source's blocks, by the ``keys`` of the source.
+
+    Swap-or-not: each round pairs x with key - x and swaps the pair or not by a hash of the
+    greater one, which permutes the numbers below ``blocks`` whatever their count.
+    """
+    other = f"pmod(k - x, {blocks})"
+    return f"aggregate(keys, {block}, (x, k) -> CASE WHEN (xxhash64(k, greatest(x, {other})) & 1) = 1 THEN {other} ELSE x END)"
+
+
+def _even_out(spark, shares: list[Share], keys: list[list[int]], block: int) -> None:
+    """A stream's last block may be short; if it is drawn, others make up for it."""
+    short = [k for k, s in enumerate(shares) if s.blocks * block > s.size]
+    if not short:
+        return
+    data = [(k, shares[k].blocks, keys[k]) for k in short]
+    last = spark.createDataFrame(data, "i int, blocks long, keys array<long>").select("i", F.expr(permuted("blocks - 1")).alias("at"))
+    for i, at in last.collect():
+        s = shares[i]
+        if at < s.drawn:
+            s.drawn, s.rest = divmod(min(s.left + s.blocks * block - s.size, s.blocks * block), block)
+        elif at == s.drawn and s.rest > block - (s.blocks * block - s.size):
+            # Only its words can be taken; what is missing is less than a block.
+            s.rest = block - (s.blocks * block - s.size)
+
+
 def split_quotas(quotas: list[int], shards: int, seed: int = 17) -> np.ndarray:
     """(shards, sources) block counts; each node draws its left part without replacement."""
     unit = max(1, -(-sum(quotas) // 500_000_000))  # the sampler's bound: larger counts are dealt in units
@@ -110,9 +136,12 @@ def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, s
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     shares = plan([(r["source"], r["rows"], r["size"]) for r in sums], share, most, block=block)
-    dealt = split_quotas([s.rounds * s.blocks + s.drawn + (s.rest > 0) for s in shares], shards)
-    data = [(s.source, s.size, float(s.target), s.blocks, s.rounds, s.drawn, s.rest, s.mul, -(-s.rows // per_bucket), [int(x) for x in np.cumsum(d)]) for s, d in zip(shares, dealt.T)]
-    small = rows.sparkSession.createDataFrame(data, "__s string, source_size long, target double, blocks long, rounds long, drawn long, rest long, mul long, buckets long, ends array<long>")
+    rng = np.random.default_rng(seed)
+    keys = rng.integers(0, 1 << 62, (len(shares), ROUNDS)).tolist()
+    _even_out(rows.sparkSession, shares, keys, block)
+    dealt = split_quotas([s.rounds * s.blocks + s.drawn + (s.rest > 0) for s in shares], shards, seed)
+    data = [(s.source, s.size, float(s.target), s.blocks, s.rounds, s.drawn, s.rest, s.left, -(-s.rows // per_bucket), [int(x) for x in np.cumsum(d)], k) for s, d, k in zip(shares, dealt.T, keys)]
+    small = rows.sparkSession.createDataFrame(data, "__s string, source_size long, target double, blocks long, rounds long, drawn long, rest long, left long, buckets long, ends array<long>, keys array<long>")
     rows = rows.join(F.broadcast(small), F.col("source").cast("string").eqNullSafe(F.col("__s")))
     place = F.expr("cast(floor((shiftrightunsigned(__p, 34)) / double(1073741824) * buckets) as long)")
     rows = rows.withColumn("__b", place)
@@ -124,16 +153,20 @@ def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, s
     return rows.withColumn("stop", stop).withColumn("start", stop - F.col("size")).drop("__s2", "__b2", "__before", "__in", "__w", "__p")
 
 
-def _drawn_words(block: int) -> Column:
-    """Words of [start, stop) that lie in the drawn blocks of the last round."""
-    limit = f"(CASE WHEN (mul * b) % blocks < drawn THEN {block} WHEN (mul * b) % blocks = drawn THEN rest ELSE 0 END)"
-    part = f"greatest(0L, least(stop, b * {block} + {limit}) - greatest(start, b * {block}))"
-    return F.expr(f"CASE WHEN size = 0 THEN 0L ELSE aggregate(sequence(start div {block}, (stop - 1) div {block}), 0L, (a, b) -> a + {part}) END")
+def _pieces(block: int) -> Column:
+    """array<b, turn, from, to, shard> of a row: what each of its blocks gives in each round, and the shard that the tree deals it to."""
+    blocks = f"transform(sequence(start div {block}, (stop - 1) div {block}), b -> named_struct('b', b, 'at', {permuted('b')}))"
+    limit = f"CASE WHEN turn < rounds OR x.at < drawn THEN {block} WHEN x.at = drawn THEN rest ELSE 0 END"
+    shard = "cast(least(size(filter(ends, e -> e <= turn * blocks + x.at)), size(ends) - 1) as int)"
+    one = f"named_struct('b', x.b, 'turn', turn, 'from', greatest(start, x.b * {block}), 'to', least(stop, x.b * {block} + {limit}), 'shard', {shard})"
+    every = f"flatten(transform({blocks}, x -> transform(sequence(0L, rounds), turn -> {one})))"
+    return F.expr(f"CASE WHEN size > 0 THEN filter({every}, p -> p.to > p.from) END")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17, shards: int = 16) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of ``docs``.
+    """doc_id, source, size, source_size, target, taken, shard_words of every row of ``docs``.
 
+    ``shard_words`` has the words of the row in each output shard; taken is their sum.
     Size is the number of words (null and empty texts: 0, taken 0).  The null source is one
     source, the last.  A source's taken words miss its target by less than a block; targets
     stop at ``most`` times the source, and no row gives more than that times its size.
@@ -142,8 +175,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")))
     rows = streams(rows, share, most, block, seed, shards)
-    taken = F.col("rounds") * F.col("size") + _drawn_words(block)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    rows = rows.withColumn("__pieces", _pieces(block))
+    words = F.expr(f"transform(sequence(0, {shards - 1}), s -> aggregate(filter(coalesce(__pieces, array()), p -> p.shard = s), 0L, (n, p) -> n + p.to - p.from))")
+    rows = rows.withColumn("shard_words", words)
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(shard_words, 0L, (n, w) -> n + w)").alias("taken"), "shard_words")
 
 
 def pieces(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17, shards: int = 16) -> DataFrame:
@@ -154,14 +189,9 @@ def pieces(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int =
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")))
     rows = streams(rows, share, most, block, seed, shards).filter("size > 0")
-    rows = rows.withColumn("b", F.expr(f"explode(sequence(start div {block}, (stop - 1) div {block}))"))
-    rows = rows.withColumn("turn", F.expr("explode(sequence(0L, rounds))")).withColumn("drawn_at", F.expr("turn * blocks + (mul * b) % blocks"))
-    rows = rows.filter("turn < rounds OR (mul * b) % blocks <= drawn")
-    limit = f"CASE WHEN turn = rounds AND (mul * b) % blocks = drawn THEN rest ELSE {block} END"
-    rows = rows.withColumn("from", F.expr(f"greatest(start, b * {block})")).withColumn("to", F.expr(f"least(stop, b * {block} + {limit})")).filter("to > from")
-    shard = F.expr("cast(least(size(filter(ends, e -> e <= drawn_at)), size(ends) - 1) as int)").alias("shard")
-    place = F.xxhash64(F.lit(seed + 1), "source", "b", "turn").alias("place")
-    return rows.select(shard, place, "doc_id", "source", F.expr("from - start").alias("first_word"), F.expr("to - from").alias("n_words"))
+    rows = rows.withColumn("p", F.explode(_pieces(block)))
+    place = F.xxhash64(F.lit(seed + 1), "source", "p.b", "p.turn").alias("place")
+    return rows.select("p.shard", place, "doc_id", "source", F.expr("p.from - start").alias("first_word"), F.expr("p.to - p.from").alias("n_words"))
 
 
 def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17) -> DataFrame:

@@ -77,6 +77,27 @@ def test_mix(docs):
     assert mixing.pieces(docs).groupBy().sum("n_words").first()[0] == taken
 
 
+def test_mix_is_dealt_through_the_tree(spark, docs):
+    got = mixing.mix(docs, shards=5).collect()
+    assert all(len(r.shard_words) == 5 and sum(r.shard_words) == r.taken for r in got)
+    by = {}
+    for r in mixing.pieces(docs, shards=5).collect():
+        by[r.shard] = by.get(r.shard, 0) + r.n_words
+    assert by == {k: n for k in range(5) if (n := sum(r.shard_words[k] for r in got))}
+    other = mixing.mix(docs, seed=18, shards=5).collect()
+    assert sorted(r.shard_words for r in other) != sorted(r.shard_words for r in got)
+
+
+def test_blocks_are_permuted(spark):
+    places, keys = [], np.random.default_rng(5).integers(0, 1 << 62, mixing.ROUNDS)
+    for n in (1, 2, 7, 1000):
+        df = spark.range(n).selectExpr("id AS b", f"{n}L AS blocks", f"array({','.join(f'{k}L' for k in keys)}) AS keys")
+        places = [r[0] for r in df.orderBy("b").selectExpr(mixing.permuted("b")).collect()]
+        assert sorted(places) == list(range(n))
+    # A fixed stride has one difference between neighbours.
+    assert len({(b - a) % 1000 for a, b in zip(places, places[1:])}) > 500
+
+
 def test_water_fill_and_quotas():
     assert mixing.water_fill([10, 100, 100], [3, 1, 2], 315, 2) == pytest.approx([20, 295 / 3, 590 / 3])
     dealt = mixing.split_quotas([7, 0, 1000], 16)
