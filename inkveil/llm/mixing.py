@@ -195,8 +195,13 @@ def pieces(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int =
 
 
 def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17) -> DataFrame:
-    """Whole rows of ``docs``, each as often as the mix takes it: every round, and once more if the block of its first word is drawn."""
+    """Whole rows of ``docs``, as often as the mix takes them: every round, and once more along the stream while the target lasts.
+
+    The row that the target's end falls in is taken if more than half of it lies before, so a
+    source misses its target by half of one row at most; a source of which no row were left
+    keeps its first.
+    """
     rows = streams(docs.withColumn("size", word_count()), share, most, block, seed, 1)
-    again = F.expr(f"CASE WHEN blocks > 0 AND (mul * (start div {block})) % blocks < drawn THEN 1L ELSE 0L END")
+    again = F.expr("CASE WHEN 2 * start + size < 2 * left OR (rounds = 0 AND left > 0 AND start = 0 AND size > 0) THEN 1L ELSE 0L END")
     rows = rows.withColumn("__copies", F.col("rounds") + again).filter("__copies > 0")
     return rows.withColumn("__copy", F.expr("explode(sequence(1L, __copies))")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -98,6 +98,21 @@ def test_blocks_are_permuted(spark):
     assert len({(b - a) % 1000 for a, b in zip(places, places[1:])}) > 500
 
 
+def test_mix_documents(spark):
+    size = {"a": [5] * 12, "b": [3000, *[10] * 300], "c": [700] * 4, "d": [40], "e": [7] * 9}
+    rows = [(1000 * k + i, " ".join(["w"] * n), s) for k, s in enumerate(size) for i, n in enumerate(size[s])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.3, 0.8, 1.5):
+        target = {r.source: r.target for r in mixing.mix(df, share=share).collect()}
+        taken, times = dict.fromkeys(size, 0), {}
+        for r in mixing.mix_documents(df, share=share).collect():
+            taken[r.source] += len(r.text.split())
+            times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert all(taken.values()) and max(times.values()) <= 2
+        for s, n in size.items():
+            assert abs(taken[s] - target[s]) <= max(n) / 2 + 1 or taken[s] in n
+
+
 def test_water_fill_and_quotas():
     assert mixing.water_fill([10, 100, 100], [3, 1, 2], 315, 2) == pytest.approx([20, 295 / 3, 590 / 3])
     dealt = mixing.split_quotas([7, 0, 1000], 16)
