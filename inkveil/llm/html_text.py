@@ -5,7 +5,8 @@ density C/T scaled by a logarithm that falls with the share of links.  The eleme
 children have the greatest sum of densities holds the article; the least density on the path
 from the densest element to the body is the threshold that elements must reach to be chosen.
 Further elements that reach it add theirs, so an article in several sections is whole.
-Elements that are boilerplate by tag, role, class or id are taken out first.
+Elements that are boilerplate by tag, role, class or id are taken out first; one that only its
+class or id names stays if it holds the page's article or, where none is marked, most of its text.
 """
 
 from __future__ import annotations
@@ -43,31 +44,66 @@ _PROSE = frozenset(("p", "li", "pre", "blockquote", "ul", "ol", *_HEADINGS))
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+# Words that begin a name that says what an element lacks or has beside it.
+_BESIDE = frozenset("has have with no not non without hide".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "drop", "link", "link_chars", "link_tags", "parent", "parts", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "density", "drop", "hint", "link", "link_chars", "link_tags", "parent", "parts", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, hint: bool = False):
+        self.tag, self.parent, self.drop, self.hint = tag, parent, drop, hint
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attrs: str, inside: set[str]) -> bool:
+def _boilerplate(tag: str, attrs: str, inside: set[str]) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether only its class or id says so."""
     if tag in DROP or tag == "header" and not inside & {"article", "main"}:
-        return True
+        return True, False
     if "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return False, False
+    hint = False
     for name, *values in _ATTR.findall(attrs):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and HINTS & set(_WORD.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            for words in map(_WORD.findall, value.split()):
+                found = set() if not words or words[0] in _BESIDE else HINTS & set(words)
+                # The header of an article or of a section holds a title.
+                if tag in _HEADINGS or inside & {"article", "main"}:
+                    found -= {"header"}
+                hint |= bool(found)
+    return False, hint
+
+
+def _settle(root: Node) -> None:
+    """Drops the elements that their class or id hints at, except those that hold the article."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.drop:
+            order.append(node)
+            todo.extend(node.children)
+    if not any(n.hint for n in order):
+        return
+    size = {}
+    for node in reversed(order):
+        size[node] = sum(len(x.strip()) if isinstance(x, str) else size.get(x, 0) for x in node.parts)
+    mains = [n for n in order if n.tag == "main"]
+    articles = [n for n in order if n.tag == "article" and not n.hint]
+    marked = mains + ([max(articles, key=size.get)] if articles else [])
+    holds = set()
+    for node in marked:
+        while node is not None and node not in holds:
+            holds.add(node)
+            node = node.parent
+    for node in order:
+        if node.hint and node.tag != "article" and node not in holds and (marked or 2 * size[node] <= size[root]):
+            node.drop = True
 
 
 def parse(text: str) -> Node:
@@ -111,7 +147,7 @@ def parse(text: str) -> Node:
             pop_to(_PAIRS[tag], ("ul", "ol", "dl", "table", "select"))
         attrs = m[4]
         up = stack[-1]
-        node = Node(tag, up, _boilerplate(tag, attrs, {x.tag for x in stack}))
+        node = Node(tag, up, *_boilerplate(tag, attrs, {x.tag for x in stack}))
         up.children.append(node)
         up.parts.append(node)
         if tag in RAW:
@@ -124,6 +160,7 @@ def parse(text: str) -> Node:
             stack.append(node)
         elif tag not in VOID and tag in BLOCK:
             stack.append(node)
+    _settle(root)
     return root
 
 

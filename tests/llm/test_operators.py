@@ -162,6 +162,16 @@ def test_html_without_links():
     assert html_text.main_text(f"<h1>T</h1><p>{paras[0]}</p><p>short</p><div>Legal</div>") == "T " + " ".join(paras[0].split()) + " short"
 
 
+def test_html_hints():
+    text = " ".join(["word"] * 60)
+    side = "<div class='sidebar'>side</div><div id='site-footer'>foot</div>"
+    for wrap in ("div class='layout has-sidebar'", "div id='page' class='site no-sidebar'", "section class='elementor-widget'", "div class='post no-comments'", "div class='social'"):
+        for inner in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+            assert html_text.main_text(f"<body><{wrap}>{inner}</{wrap.split()[0]}>{side}</body>") == text
+    page = f"<article><header class='entry-header'><h1>Title</h1></header><h2 class='section-header'>Part</h2><p>{text}</p><div class='share'>send</div></article>"
+    assert html_text.main_text(page + "<div class='comments'><article class='comment-body'>" + "me too " * 200 + "</article></div>") == "Title Part " + text
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, None, "<p>x y</p>", 5), (None, "u", None, 6)], "page_id long, url string, html string, n_chars int")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "x y", 3), (None, "", 0)}
