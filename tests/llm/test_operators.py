@@ -254,3 +254,11 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert not mixing.mix(empty).collect() and not avi.store_texts(empty).collect() and not pii.find_pii(empty).collect() and not langid.identify(empty).collect()
     assert not ngram_lm.score(empty).collect() and not near_dedup.near_duplicates(empty).collect() and not kd_shards.shard_documents(empty).collect()
+
+
+def test_enough_tables():
+    import inspect
+
+    m, half = (inspect.signature(near_dedup.near_duplicates).parameters[k].default for k in ("m", "half"))
+    assert 2 * (1 - 0.75**half) ** m <= 1.05e-4
+    assert inspect.signature(near_dedup.signatures).parameters["m"].default == m
