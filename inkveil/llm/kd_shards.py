@@ -3,7 +3,14 @@
 Each node of the tree splits at the weighted median of its widest dimension (extent as a
 share of the whole table's), so that leaves hold about the same bytes.  Medians come from
 histograms of at most ``bins`` sums per node, refined where the median lies; only those sums
-reach the driver, however many rows there are.
+reach the driver, however many rows there are.  Points are written once; a row's place in
+the tree follows from the splits found so far, at most one per shard.
+
+Equal texts are one point.  Points of more than ``heavy`` of a shard are few (at most
+shards / heavy) and known to the driver, which gives each to a side and sets the median of
+the light points so that the sides come out even.  Only equal texts that outweigh a whole
+shard are parted, along a hash of their ids at one place, so they fill as few shards as the
+law allows.
 """
 
 from __future__ import annotations
@@ -17,14 +24,12 @@ from .common import cut
 
 _RANGE = 1 << 30
 _KEYS = 1 << 62
+_TIES = 1 << 32
+_DIMS = range(4)
 
 
-def _points(docs: DataFrame, shards: int, hot: float) -> tuple[DataFrame, int]:
-    """Rows with size, checksum, four coordinates and a tie-breaker; copies of a text share theirs.
-
-    A group of equal texts stays together unless it outweighs ``hot`` of a shard; then its
-    rows have coordinates of their own and spread.
-    """
+def _points(docs: DataFrame, shards: int, heavy: float, often: float) -> tuple[DataFrame, dict, int]:
+    """Points (doc_id, size, text_crc32, c0 to c3, tie, atom), the atoms by number, and the number of rows."""
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     name = lambda c: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(_RANGE)))
     rows = docs.select(
@@ -37,59 +42,111 @@ def _points(docs: DataFrame, shards: int, hot: float) -> tuple[DataFrame, int]:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("c3"),
     )
     rows = cut(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("t").agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[F.min(c).alias(f"g{c}") for c in ("c1", "c2", "c3")])
-    # Only groups of copies change anything, and those are few beside the rows.
-    groups = cut(groups.filter("n > 1").withColumn("keep", F.col("w") <= F.lit(hot * total / shards)).drop("n", "w"))
-    both = rows.join(groups, "t", "left")
-    kept = F.coalesce(F.col("keep"), F.lit(False))
-    coords = [F.when(kept, F.col(f"g{c}")).otherwise(F.col(c)).alias(c) for c in ("c1", "c2", "c3")]
-    tie = F.when(kept, F.col("t")).otherwise(F.xxhash64("t", "doc_id"))
-    return cut(both.select("doc_id", "size", "text_crc32", F.col("size").alias("c0"), *coords, F.pmod(tie, F.lit(1 << 32)).alias("tie"))), total
-
-
-def _key(dim: int, low: int, high: int) -> Column:
-    """The coordinate, scaled to 30 bits, above 32 bits of the tie-breaker."""
-    place = F.floor((F.col(f"c{dim}") - F.lit(low)) / F.lit(float(max(high - low, 1))) * F.lit(float(_RANGE - 1))).cast("long")
-    return place * F.lit(1 << 32) + F.col("tie")
-
-
-def _choose(pairs: list[tuple[int, Column]], default: Column) -> Column:
-    return reduce(lambda rest, p: F.when(F.col("node") == p[0], p[1]).otherwise(rest), pairs, default)
-
-
-def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance: float = 1e-3, hot: float = 0.05) -> DataFrame:
-    """Points with their ``shard``: the leaf of the tree."""
-    rows, _ = _points(docs, shards, hot)
-    dims = range(4)
-    span = rows.agg(*[f(f"c{d}").alias(f"{n}{d}") for d in dims for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    whole = {d: (span[f"lo{d}"] or 0, span[f"hi{d}"] or 0) for d in dims}
-    rows = rows.withColumn("node", F.lit(0))
-    width = {0: shards}  # first shard of a node: number of its shards
+    whole = rows.agg(F.sum("size").alias("w"), F.count("*").alias("n")).first()
+    weight, count = whole["w"] or 0, whole["n"]
+    groups = rows.groupBy("t").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("size").alias("c0"), *[F.min(c).alias(c) for c in ("c1", "c2", "c3")])
+    groups = cut(groups.filter((F.col("n") > 1) | (F.col("w") > heavy * weight / shards)))
+    # At most shards / heavy + 1 / often groups are known, whatever the number of rows.
+    known = groups.filter((F.col("w") > heavy * weight / shards) | (F.col("n") > often * count)).collect()
+    known = [(k, r.asDict(), r["w"] * shards > weight and r["n"] > 1) for k, r in enumerate(sorted(known, key=lambda r: r["t"]))]
+    atoms = {k: r for k, r, parted in known if not parted and r["w"] > heavy * weight / shards}
+    data = [(r["t"], r["c1"], r["c2"], r["c3"], parted, k if k in atoms else None) for k, r, parted in known]
+    some = docs.sparkSession.createDataFrame(data, "t long, k1 long, k2 long, k3 long, parted boolean, atom int")
+    rows = rows.join(F.broadcast(some), "t", "left")
+    # Rows of known groups need no partner; a hash of their own keeps them from one task.
+    rows = rows.withColumn("j", F.when(F.col("parted").isNotNull(), F.xxhash64("t", "doc_id")).otherwise(F.col("t")))
+    light = groups.select(F.col("t").alias("j"), *[F.col(f"c{d}").alias(f"g{d}") for d in (1, 2, 3)])
+    both = rows.join(light.join(F.broadcast(some.select(F.col("t").alias("j"))), "j", "left_anti"), "j", "left")
+    coords = [F.coalesce(f"k{d}", f"g{d}", f"c{d}").alias(f"c{d}") for d in (1, 2, 3)]
+    tie = F.when(F.col("parted"), F.xxhash64("t", "doc_id")).otherwise(F.col("t"))
+    points = both.select("doc_id", "size", "text_crc32", F.col("size").alias("c0"), *coords, F.pmod(tie, F.lit(_TIES)).alias("tie"), "atom")
+    return cut(points), atoms, count
+
+
+def _place(value, low, span):
+    return (value - low) / span * float(_RANGE - 1)
+
+
+def _with(rows: DataFrame, nodes: list[tuple], more: str) -> DataFrame:
+    """``rows`` with the dimension of their node, its scale and further columns of it; at most a row a shard is broadcast."""
+    table = rows.sparkSession.createDataFrame(nodes, "node int, dim int, base long, span double, " + more)
+    return rows.join(F.broadcast(table), "node", "left")
+
+
+def _key() -> Column:
+    """The coordinate of the node's dimension, scaled to 30 bits, above 32 bits of the tie-breaker."""
+    coordinate = F.element_at(F.array(*[f"c{d}" for d in _DIMS]), F.col("dim") + 1)
+    return F.floor(_place(coordinate, F.col("base"), F.col("span"))).cast("long") * F.lit(_TIES) + F.col("tie")
+
+
+def _side(atoms: list[tuple[int, int]], below, goal: float, total: float) -> tuple[set[int], float]:
+    """Which atoms (key, weight) go left, and the light weight that goes with them.
+
+    They part where the median of all points lies; where one side's atoms alone outweigh it,
+    the atom that mends most changes sides until none does.
+    """
+    order = sorted(range(len(atoms)), key=lambda k: atoms[k])
+    left, weight, heavy = set(), 0, sum(w for _, w in atoms)
+    for k in order:
+        key, w = atoms[k]
+        if weight + w / 2 + below(key) > goal:
+            break
+        left.add(k)
+        weight += w
+    while (over := max(weight - goal, heavy - weight - (total - goal))) > 0:
+        out = weight > goal
+        k = min((k for k in order if (k in left) == out), key=lambda k: abs(over - atoms[k][1]))  # noqa: B023
+        if abs(over - atoms[k][1]) >= over:
+            break
+        left ^= {k}
+        weight += -atoms[k][1] if out else atoms[k][1]
+    return left, goal - weight
+
+
+def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance: float = 1e-3, heavy: float = 0.01, often: float = 1e-3) -> tuple[DataFrame, int]:
+    """Points with their ``shard``, the leaf of the tree, and the number of rows."""
+    points, atoms, count = _points(docs, shards, heavy, often)
+    whole = points.agg(*[f(f"c{d}").alias(f"{n}{d}") for d in _DIMS for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    base = [whole[f"lo{d}"] or 0 for d in _DIMS]
+    span = [float(max((whole[f"hi{d}"] or 0) - base[d], 1)) for d in _DIMS]
+    light = points.filter("atom IS NULL")
+    rows, turns = light.withColumn("node", F.lit(0)), []
+    width, home = {0: shards}, dict.fromkeys(atoms, 0)  # width: first shard of a node: number of its shards
     while any(n > 1 for n in width.values()):
-        part = rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"c{d}").alias(f"{n}{d}") for d in dims for f, n in ((F.min, "lo"), (F.max, "hi"))])
+        ends = [f(f"c{d}").alias(f"{n}{d}") for d in _DIMS for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        part = {r["node"]: r.asDict() for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *ends).collect()}
         state = {}
-        for r in part.collect():
-            if width[r["node"]] > 1:
-                wide = max(dims, key=lambda d: (r[f"hi{d}"] - r[f"lo{d}"]) / max(whole[d][1] - whole[d][0], 1))
-                goal = r["w"] * (width[r["node"]] // 2) / width[r["node"]]
-                state[r["node"]] = {"dim": wide, "lo": 0, "hi": _KEYS, "before": 0, "goal": goal, "w": r["w"], "at": None}
-        keys = {n: _key(s["dim"], *whole[s["dim"]]) for n, s in state.items()}
+        for n, k in width.items():
+            own = [a for a in atoms if home[a] == n]
+            r = part.get(n, {"w": 0})
+            if k < 2 or not (own or r["w"]):
+                continue
+            values = {d: [*(atoms[a][f"c{d}"] for a in own), *([r[f"lo{d}"], r[f"hi{d}"]] if r["w"] else [])] for d in _DIMS}
+            dim = max(_DIMS, key=lambda d: (max(values[d]) - min(values[d])) / span[d])  # noqa: B023
+            total = r["w"] + sum(atoms[a]["w"] for a in own)
+            state[n] = {"dim": dim, "own": own, "lo": 0, "hi": _KEYS, "before": 0, "light": r["w"], "w": total, "goal": total * (k // 2) / k, "at": None}
+        first = True
         while todo := {n: s for n, s in state.items() if s["at"] is None}:
             step = {n: -(-(s["hi"] - s["lo"]) // bins) for n, s in todo.items()}
-            key = _choose([(n, keys[n]) for n in todo], F.lit(None).cast("long"))
-            low = _choose([(n, F.lit(s["lo"])) for n, s in todo.items()], F.lit(None).cast("long"))
-            high = _choose([(n, F.lit(s["hi"])) for n, s in todo.items()], F.lit(None).cast("long"))
-            by = _choose([(n, F.lit(step[n])) for n in todo], F.lit(None).cast("long"))
-            inside = rows.withColumn("k", key).filter((F.col("k") >= low) & (F.col("k") < high))
-            sums = inside.groupBy("node", F.expr("1").alias("one"), F.floor((F.col("k") - low) / by).cast("int").alias("bin")).agg(F.sum("size").alias("w")).collect()
+            asked = [(n, s["dim"], base[s["dim"]], span[s["dim"]], s["lo"], s["hi"], step[n]) for n, s in todo.items()]
+            inside = _with(rows, asked, "low long, high long, by long").withColumn("k", _key()).filter("k >= low AND k < high")
+            sums = inside.groupBy("node", F.expr("cast((k - low) div by AS int)").alias("bin")).agg(F.sum("size").alias("w")).collect()
             for n, s in todo.items():
-                have = s["before"]
                 bars = sorted((r["bin"], r["w"]) for r in sums if r["node"] == n)
+                if first:
+                    d = s["dim"]
+                    places = [(int(_place(atoms[a][f"c{d}"], base[d], span[d])) * _TIES + atoms[a]["t"] % _TIES, atoms[a]["w"]) for a in s["own"]]
+                    below = lambda key: sum(w for b, w in bars if b < key // step[n])  # noqa: B023, E731
+                    left, s["goal"] = _side(places, below, s["goal"], s["w"])
+                    home |= {a: n if k in left else n + width[n] // 2 for k, a in enumerate(s["own"])}
+                if s["goal"] <= 0 or s["goal"] >= s["light"]:
+                    s["at"] = 0 if s["goal"] <= 0 else _KEYS
+                    continue
+                have = s["before"]
                 for b, w in bars:
                     if have + w >= s["goal"]:
                         start = s["lo"] + b * step[n]
-                        if step[n] <= 1 or w <= tolerance * s["w"] or len(bars) == 1 and w == s["w"] and step[n] <= 1:
+                        if step[n] <= 1 or w <= tolerance * s["w"]:
                             s["at"] = start if s["goal"] - have <= have + w - s["goal"] else start + step[n]
                         else:
                             s["before"], s["lo"], s["hi"] = have, start, min(start + step[n], s["hi"])
@@ -97,30 +154,36 @@ def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance:
                     have += w
                 else:
                     s["at"] = s["hi"]
-        right = _choose([(n, F.when(keys[n] >= F.lit(s["at"]), n + width[n] // 2).otherwise(n)) for n, s in state.items()], F.col("node"))
-        rows = cut(rows.withColumn("node", right.cast("int")))
+            first = False
+        turns.append([(n, s["dim"], base[s["dim"]], span[s["dim"]], s["at"], n + width[n] // 2) for n, s in state.items()])
+        rows = _turn(rows, turns[-1])
         width = {m: k for n, k in width.items() for m, k in (((n, k // 2), (n + k // 2, k - k // 2)) if k > 1 else ((n, k),))}
-        for n in [n for n in width if width[n] > 1 and n not in state]:
-            width.setdefault(n, 1)
-        if not state:
-            break
-    return rows.withColumnRenamed("node", "shard")
+    points = reduce(_turn, turns, points.withColumn("node", F.lit(0)))
+    homes = docs.sparkSession.createDataFrame(sorted(home.items()), "atom int, home int")
+    points = points.join(F.broadcast(homes), "atom", "left").withColumn("shard", F.coalesce("home", "node"))
+    return points.drop("atom", "node", "home"), count
+
+
+def _turn(rows: DataFrame, splits: list[tuple]) -> DataFrame:
+    """Rows one level down: those from the split on go right."""
+    seen = _with(rows, splits, "at long, right int")
+    node = F.when(_key() >= F.col("at"), F.col("right")).otherwise(F.col("node"))
+    return seen.withColumn("node", node).drop("dim", "base", "span", "at", "right")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, per_bucket: int = 1024) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``.
 
-    The law is ``bytes``: shards of nearly equal size, as far as single texts allow.  Null
+    The law is ``bytes``: shards of nearly equal size, as far as single texts and groups of
+    equal texts allow.  Equal texts share a shard unless together they outweigh one.  Null
     texts count as empty (size 1, checksum 0); null metadata come first in their dimension;
-    equal texts share a shard unless together they outweigh a twentieth of one; repeated
-    rows all have a slot; other columns are ignored; an empty table gives no rows.  Slots
-    are numbered in hashed buckets and shifted by the buckets before, so that no task holds
-    a whole shard.
+    repeated rows all have a slot; very long texts are weighed alone; other columns are
+    ignored; an empty table gives no rows.  Slots are numbered in hashed buckets and shifted
+    by the buckets before, so that no task holds a whole shard.
     """
-    rows = tree_shards(docs, shards)
-    n = rows.count()
+    rows, n = tree_shards(docs, shards)
     bucket = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(max(1, n // (shards * per_bucket)))).cast("int")
-    rows = cut(rows.select("doc_id", "size", "text_crc32", "shard", "tie", bucket.alias("bucket")))
+    rows = rows.select("doc_id", "size", "text_crc32", "shard", "tie", bucket.alias("bucket"))
     count = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     local = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "tie", "text_crc32"))
