@@ -7,11 +7,13 @@ boundaries found on bytes are those of the text.
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
@@ -26,13 +28,15 @@ LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or the one already set in the session.
 
-    A local folder is set only where none is named, which is the case in tests on one machine.
+    A folder of one's own is made only where Spark runs in one process; elsewhere its lack is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -43,6 +47,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as an expression of the plan, without a Python worker."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    data = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
+def bounded_sample(rows: DataFrame, keys: list[str], most_rows: int, most_bytes: int):
+    """Rows (keys, text) on the driver, distinct by ``keys``, in the order of a hash of the keys.
+
+    At most ``most_rows`` of them and ``most_bytes`` of text; where a key has several texts, one of them.
+    """
+    rows = rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("__h", F.xxhash64(F.lit(5), *keys))
+    rows = cut(rows)
+    sizes = rows.select("__h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("__h").limit(most_rows).collect()
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_bytes, "right"))
+    last = sizes[fits - 1]["__h"] if fits else None
+    return rows.filter(F.col("__h") <= F.lit(last).cast("long")).orderBy("__h", *keys).limit(most_rows).drop("__h").toPandas()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

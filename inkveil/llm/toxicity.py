@@ -1,12 +1,12 @@
 """Toxicity by a convolutional text classifier in numpy.
 
 Words (runs of letters and digits, in lower case) and their beginnings of 5 and 7 bytes have
-64-bit hashes; a hash that occurs in at least ``least`` sampled texts and tells the classes
-apart has an embedding, all others the zero vector, and a word is the sum of its three.
-Filters of widths 1 to 3 slide over a text, each keeps its ``POOL`` greatest values (max
-pooling of that depth tells one stray word from several), and a logistic layer weighs them.
-Every language, told by function words in the text itself, has a threshold of its own fitted
-on rows that the gradient didn't see; scores are shifted so that it lies at 0.7.
+64-bit hashes; every hash that occurs in at least ``least`` sampled texts has an embedding
+that is learnt, and a word is the sum of its three.  Embeddings start from the log-odds of
+their hash, so that few labels are enough.  Filters of widths 1 to 3 slide over a text, each
+gives its maximum in each quarter of it, and a logistic layer weighs them.  Every language, told by function words in
+the text itself, has a threshold of its own fitted on rows that the gradient didn't see;
+scores are shifted so that it lies at 0.7.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, chunks, fold_upper, word_bounds, word_hashes
+from .common import U, bounded_sample, buffers, chunks, fold_upper, word_bounds, word_hashes
 
 SEP = np.ones(256, bool)
 SEP[48:58] = SEP[97:123] = SEP[128:] = False
 WIDTHS = (1, 2, 3)
-DIM, FILTERS, POOL = 8, 8, 3
+DIM, FILTERS = 8, 8
+#: Parts of a text that are pooled on their own, so that one stray word and several are told apart.
+PARTS = 4
+#: Rows without a word after each text: no window reaches the next text and no part is empty.
+PAD = max(*WIDTHS, PARTS)
 STARTS = (5, 7)
 BITS = 20
 #: Function words that tell a language; fixed values.
@@ -53,25 +57,19 @@ def _hash_of(word: str) -> np.uint64:
     return next(iter(words(pa.array([word]))))[0][0, 0]
 
 
-def _windows(full: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the windows that touch a known word."""
-    at = np.unique(np.concatenate([full - k for k in range(max(WIDTHS))])) if len(full) else full
-    return at[(at >= 0) & (at < n)]
-
-
 class Model:
     """Embedding rows by hash (row 0 is zero), filters, logistic layer, thresholds."""
 
     def __init__(self, vocab: np.ndarray, emb: np.ndarray, seed: int):
         rng = np.random.default_rng(seed)
         self.hash = np.concatenate([[U(0)], vocab])
-        self.emb = emb
-        self.conv = [[rng.normal(0, 0.3, (DIM, FILTERS)) for _ in range(w)] for w in WIDTHS]
-        for taps in self.conv:
-            for k in taps:
-                k[0] = np.abs(k[0])  # dimension 0 starts as the log-odds of the word
-        self.bias = np.full((len(WIDTHS), FILTERS), -0.1)
-        self.out = np.full((len(WIDTHS), POOL, FILTERS), 0.1)
+        self.emb = emb.astype(np.float32)
+        # taps[w][k]: what the k-th word of a window of width w + 1 adds to each filter.
+        self.taps = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+        for t in self.taps:
+            t[:, 0] = np.abs(t[:, 0]) * np.where(np.arange(FILTERS) % 4 == 3, -1, 1)  # dimension 0 starts as log-odds
+        self.bias = np.full((len(WIDTHS), FILTERS), -0.1, np.float32)
+        self.out = np.where(np.arange(FILTERS) % 4 == 3, -0.05, 0.1) * np.ones((len(WIDTHS), 1), np.float32)
         self.shift = -2.0
         self.table = np.zeros(1 << BITS, np.int32)
         self.table[(vocab & U((1 << BITS) - 1)).astype(np.int64)[::-1]] = np.arange(len(vocab), 0, -1)
@@ -87,59 +85,56 @@ class Model:
         r = self.table[(h & U((1 << BITS) - 1)).astype(np.int64)]
         return np.where(self.hash[r] == h, r, 0)
 
-    def pooled(self, vec: np.ndarray, at: np.ndarray):
-        """Greatest POOL values of each filter of each width, and the windows they come from."""
-        near = [vec[np.minimum(at + k, len(vec) - 1)] * (at + k < len(vec))[:, None] for k in range(max(WIDTHS))]
-        tops, places = [], []
-        for w in WIDTHS:
-            c = np.zeros((len(at) + POOL, FILTERS))  # the last rows are windows without a known word
-            if len(at):
-                c[: len(at)] = sum(near[k] @ self.conv[w - 1][k] for k in range(w))
-            order = np.argsort(-c, axis=0, kind="stable")[:POOL]
-            places.append(order)
-            tops.append(np.take_along_axis(c, order, 0))
-        return np.stack(tops), np.stack(places), near
-
-    def known(self, r: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(self.tells[r].any(1))
-
-    def logit(self, r: np.ndarray) -> float:
-        top, _, _ = self.pooled(self.emb[r].sum(1), _windows(self.known(r), len(r))) if len(r) else self.pooled(np.zeros((1, DIM)), np.zeros(0, np.int64))
-        return float((np.maximum(top + self.bias[:, None], 0) * self.out).sum() + self.shift)
+    def values(self, x: np.ndarray) -> list[np.ndarray]:
+        """Every filter at every place, for each width."""
+        out = []
+        for t in self.taps:
+            c = x @ t[0]
+            for k in range(1, len(t)):
+                c[:-k] += x[k:] @ t[k]
+            out.append(c)
+        return out
+
+    def logits(self, pooled: np.ndarray) -> np.ndarray:
+        """Logits of (texts, PARTS, widths, filters) maxima."""
+        return (np.maximum(pooled + self.bias, 0) * self.out).sum((1, 2, 3)) + self.shift
 
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Logit and language of each text."""
-        logits, langs, none = [], [], None
+        logits, langs = [np.zeros(0)], [np.zeros(0, np.int64)]
         for h, first in words(texts):
             n = len(first) - 1
             r = self.rows(h)
             votes = np.bincount(np.repeat(np.arange(n), np.diff(first)) * len(LANGS) + self.lang[r[:, 0]], minlength=n * len(LANGS)).reshape(n, -1)[:, :-1]
             langs.append(np.where(votes.max(1) > 0, votes.argmax(1), len(LANGS) - 1))
-            tells = self.tells[r].any(1)
-            some = np.add.reduceat(np.append(tells, False), np.minimum(first[:-1], len(tells))) if n else []
-            for a, b, known in zip(first[:-1], first[1:], some):
-                if b > a and known:
-                    logits.append(self.logit(r[a:b]))
-                else:
-                    none = self.logit(r[:0]) if none is None else none
-                    logits.append(none)
-        return np.array(logits), np.concatenate(langs) if langs else np.zeros(0, np.int64)
+            r, first = padded(r, first)
+            at = self.values(sum(self.emb[r[:, k]] for k in range(r.shape[1])))
+            pooled = np.stack([np.maximum.reduceat(c, parts(first)[:-1], axis=0) for c in at], 1)
+            logits.append(self.logits(pooled.reshape(n, PARTS, len(WIDTHS), FILTERS)))
+        return np.concatenate(logits), np.concatenate(langs)
 
     def probability(self, texts) -> np.ndarray:
         logit, lang = self.score(texts)
         return 1 / (1 + np.exp(-np.clip(logit - self.cut[lang] + np.log(0.7 / 0.3), -30, 30)))
 
 
-def train(texts, toxic: np.ndarray, tune: np.ndarray, weight=None, least: int = 3, most: int = 1 << 15, epochs: int = 6, rate: float = 0.02, seed: int = 11) -> Model:
-    """Fits the network on the rows not in ``tune``, and the thresholds on those that are.
+def padded(r: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of texts with PAD rows of no word after each, and the new starts."""
+    n = len(first) - 1
+    out = np.zeros((len(r) + PAD * n, r.shape[1]), r.dtype)
+    out[np.arange(len(r)) + PAD * np.repeat(np.arange(n), np.diff(first))] = r
+    return out, first + PAD * np.arange(n + 1)
 
-    ``weight`` is the number of labelled rows that a sampled row stands for.
-    """
-    weight = np.ones(len(toxic)) if weight is None else weight
-    docs = [h[a:b] for h, first in words(texts) for a, b in zip(first[:-1], first[1:])]
-    learn = np.flatnonzero(~tune)
-    sets = [np.unique(docs[i][docs[i] > 0]) for i in learn]
-    y = toxic[learn].astype(float)
+
+def parts(first: np.ndarray) -> np.ndarray:
+    """Starts of the parts of padded texts."""
+    at = first[:-1, None] + np.diff(first)[:, None] * np.arange(PARTS) // PARTS
+    return np.append(at.ravel(), first[-1])
+
+
+def _start(docs: list[np.ndarray], y: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of at least ``least`` texts, the most frequent ``most`` of them, and the z value of their log-odds."""
+    sets = [np.unique(d[d > 0]) for d in docs]
     vocab, df = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_counts=True)
     pos = np.zeros(len(vocab))
     for s, t in zip(sets, y):
@@ -149,62 +144,66 @@ def train(texts, toxic: np.ndarray, tune: np.ndarray, weight=None, least: int =
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((df - pos + 0.5) / (n0 + 1))
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (df - pos + 0.5))
     func = np.isin(vocab, np.array([_hash_of(w) for ws in FUNCTION_WORDS.values() for w in ws.split()], U))
-    keep = np.flatnonzero((df >= least) & (z >= 2.0) | func)
-    keep = keep[np.lexsort((vocab[keep], -z[keep] - 1000 * func[keep]))][:most]
-    rng = np.random.default_rng(seed)
-    told = (z[keep] >= 2.0) & (df[keep] >= least)
-    emb = np.column_stack([np.clip(z[keep], 0, 8) / 4, rng.normal(0, 0.02, (len(keep), DIM - 1))]) * told[:, None]
-    m = Model(vocab[keep], np.concatenate([np.zeros((1, DIM)), emb]), seed)
-    m.tells = np.concatenate([[False], told])
+    keep = np.flatnonzero((df >= least) | func)
+    keep = np.sort(keep[np.lexsort((vocab[keep], -df[keep] - (func[keep] << 40)))][:most])
+    return vocab[keep], z[keep]
+
 
+def train(texts, toxic: np.ndarray, tune: np.ndarray, weight=None, least: int = 3, most: int = 1 << 17, epochs: int = 6, rate: float = 0.02, drop: float = 0.3, seed: int = 11) -> Model:
+    """Fits the network on the rows not in ``tune``, and the thresholds on those that are.
+
+    ``weight`` is the number of labelled rows that a sampled row stands for.
+    """
+    weight = np.ones(len(toxic)) if weight is None else weight
+    docs = [h[a:b] for h, first in words(texts) for a, b in zip(first[:-1], first[1:])]
+    learn = np.flatnonzero(~tune)
+    y = toxic[learn].astype(np.float32)
+    vocab, z = _start([docs[i] for i in learn], y, least, most)
+    rng = np.random.default_rng(seed)
+    emb = np.column_stack([np.sign(z) * np.clip(np.abs(z) - 2, 0, 6) / 3, rng.normal(0, 0.02, (len(vocab), DIM - 1))])
+    m = Model(vocab, np.concatenate([np.zeros((1, DIM)), emb]), seed)
     idx = [m.rows(docs[i]) for i in learn]
-    at = [_windows(m.known(r), len(r)) for r in idx]
-    params = [m.emb, *(k for taps in m.conv for k in taps), m.bias, m.out]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    gain = np.where(y > 0, np.sqrt(n0 / n1), 1.0)
-    turn = 0
+    del docs
+    params = [*m.taps, m.bias, m.out]
+    seen, seen_emb = [np.full_like(p, 1e-4) for p in params], np.full((len(m.emb), 1), 1e-4, np.float32)
+    gain = np.where(y > 0, np.sqrt(max((1 - y).sum(), 1) / max(y.sum(), 1)), 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(idx))
-        for batch in np.array_split(order, max(1, len(order) // 32)):
-            grads = [np.zeros_like(p) for p in params]
-            back, touched, amounts = 0.0, [], []
-            for d in batch:
-                r = idx[d]
-                top, place, near = m.pooled(m.emb[r].sum(1) if len(r) else np.zeros((1, DIM)), at[d])
-                pre = top + m.bias[:, None]
-                act = np.maximum(pre, 0)
-                p = 1 / (1 + np.exp(-np.clip((act * m.out).sum() + m.shift, -30, 30)))
-                g = (p - y[d]) * gain[d] / len(batch)
-                back += g
-                grads[-1] += g * act
-                gt = g * m.out * (pre > 0)
-                grads[-2] += gt.sum(1)
-                if not len(at[d]):
-                    continue
-                slot = 1
-                for v, w in enumerate(WIDTHS):
-                    real = place[v] < len(at[d])
-                    win = np.where(real, place[v], 0)
-                    gw = (gt[v] * real)[:, :, None]
-                    for k in range(w):
-                        grads[slot + k] += (near[k][win] * gw).sum(0).T
-                        word = at[d][win] + k
-                        part = (gw * (word < len(r))[:, :, None] * m.conv[v][k].T).reshape(-1, DIM)
-                        touched.append(r[np.minimum(word, len(r) - 1)].reshape(-1, r.shape[1]))
-                        amounts.append(part)
-                    slot += w
-            if touched:
-                rows_, part = np.concatenate(touched), np.concatenate(amounts)
-                for c in range(rows_.shape[1]):
-                    np.add.at(grads[0], rows_[:, c], part)
-            turn += 1
-            m.shift -= rate * back
-            for k, (p, g) in enumerate(zip(params, grads)):
-                g += 1e-4 * p
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                p -= rate * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
-            m.emb[~m.tells] = 0
+        for batch in np.array_split(order, max(1, len(order) // 32)) if len(order) else []:
+            r, first = padded(np.concatenate([idx[d] for d in batch]), np.concatenate([[0], np.cumsum([len(idx[d]) for d in batch])]))
+            r = np.where(rng.random(len(r))[:, None] < drop, 0, r)  # words left out at random
+            x = sum(m.emb[r[:, k]] for k in range(r.shape[1]))
+            at = m.values(x)
+            cuts = parts(first)
+            best = [np.stack([a + c[a:b].argmax(0) for a, b in zip(cuts[:-1], cuts[1:])]) for c in at]
+            pooled = np.stack([np.take_along_axis(c, i, 0) for c, i in zip(at, best)], 1)
+            pre = pooled + m.bias
+            p = 1 / (1 + np.exp(-np.clip(m.logits(pooled.reshape(len(batch), PARTS, *pooled.shape[1:])), -30, 30)))
+            g = ((p - y[batch]) * gain[batch] / len(batch)).astype(np.float32)
+            each = np.repeat(g, PARTS)[:, None, None]
+            into = each * m.out * (pre > 0)
+            grads = [np.zeros_like(t) for t in m.taps] + [into.sum(0), (each * np.maximum(pre, 0)).sum(0)]
+            touched, amount = [], []
+            for v, t in enumerate(m.taps):
+                for k in range(len(t)):
+                    place = np.minimum(best[v] + k, len(x) - 1)
+                    grads[v][k] = np.einsum("bf,bfd->df", into[:, v], x[place])
+                    rows_ = r[place].reshape(-1, r.shape[1])
+                    touched.append(rows_)
+                    amount.append((into[:, v, :, None] * t[k].T).reshape(-1, DIM))
+            rows_, amount = np.concatenate(touched), np.concatenate(amount)
+            words_, where = np.unique(rows_, return_inverse=True)
+            back = np.zeros((len(words_), DIM), np.float32)
+            for c in range(rows_.shape[1]):
+                np.add.at(back, where.reshape(rows_.shape)[:, c], amount)
+            m.shift -= rate * g.sum()
+            for q, s, d in zip(params, seen, grads):
+                d = d + 1e-4 * q
+                s += d * d
+                q -= rate * d / np.sqrt(s)
+            seen_emb[words_] += (back * back).mean(1, keepdims=True)
+            m.emb[words_] -= rate * back / np.sqrt(seen_emb[words_])
+            m.emb[0] = 0
     _calibrate(m, texts, toxic, tune, weight)
     return m
 
@@ -235,8 +234,8 @@ def _calibrate(m: Model, texts, toxic: np.ndarray, tune: np.ndarray, weight: np.
             m.cut[k] = _best_cut(logit[own], toxic[own], weight[own])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
-    """Trains on about ``sample`` labelled texts, a third of them toxic where there are so many.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 64 << 20) -> Model:
+    """Trains on about ``sample`` labelled texts of at most ``sample_bytes``, a third of them toxic where there are so many.
 
     They are drawn by a hash of doc_id among the labels whose crc32(doc_id) mod 3 is not 1.
     """
@@ -247,8 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
     share = [min(1.0, part / max(count.get(k, 0), 1)) for k, part in ((0, sample * 2 / 3), (1, sample / 3))]
     level = F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
     drawn = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < level)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = bounded_sample(rows, ["doc_id", "toxic"], 2 * sample, sample_bytes).sort_values("doc_id")
     tune = np.array([hash_of(i) for i in rows["doc_id"]], dtype=int) % 9 < 3
     toxic = rows["toxic"].to_numpy(int) == 1
     return train(pa.array(rows["text"], pa.string()), toxic, tune, np.where(toxic, 1 / share[1], 1 / share[0]))
@@ -260,29 +259,30 @@ def hash_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) // 3
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns ``keep``, of every row of ``docs``."""
-    keep = keep or []
+def score_texts(docs: DataFrame, model: Model, row: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted, and with ``row`` the whole row of ``docs`` as a struct, of every row of ``docs``."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []
 
     def run(batches):
         for batch in batches:
             p = model.probability(batch.column(2))
-            rest = [batch.column(3 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.7).astype(np.int32)), *rest], names=["doc_id", "held_out", "score", "predicted", *keep])
+            rest = [batch.column(k) for k in range(3, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.7).astype(np.int32)), *rest], names=["doc_id", "held_out", "score", "predicted", *["row" for _ in rest]])
 
     held = F.coalesce(F.expr("crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("__text"), *keep)
-    more = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + more)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"), *more)
+    schema = "doc_id long, held_out boolean, score double, predicted int"
+    return rows.mapInArrow(run, schema + (f", row {rows.schema['row'].dataType.simpleString()}" if row else ""))
 
 
 def detect_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text).
 
     ``labels`` (doc_id, toxic) are learnt from only where crc32(doc_id) mod 3 is not 1, and
-    at most about ``sample`` of them.  Null texts count as empty and are scored; a null
+    at most about ``sample`` of them and 64 MB of text; an id that repeats is one of them.
+    Null texts count as empty and are scored; a null
     doc_id is not held out and not learnt from; null labels are not learnt from; without a
-    toxic label nothing is predicted toxic; repeated rows are all returned; an empty table
-    gives no rows.
+    toxic label nothing is predicted toxic; very long texts are scored whole; repeated rows
+    are all returned; other columns are ignored; an empty table gives no rows.
     """
     return score_texts(docs, fit(docs, labels, sample))
