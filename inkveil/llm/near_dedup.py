@@ -142,20 +142,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, salts: int = 32) -> DataFrame:
     """(v, c): c is the smallest vertex that can be reached from v.
 
     Labels spread to neighbours and jump to the label of their label, all in joins; each
     turn is written to the checkpoint folder, and the number of turns grows with the
-    logarithm of the longest path.
+    logarithm of the longest path.  A large component has many rows with one label, so the
+    few rows that labels are looked up in are repeated under ``salts`` numbers.
     """
     both = cut(edges.select(F.col("x").alias("v"), F.col("y").alias("u")).union(edges.select(F.col("y"), F.col("x"))))
     label = cut(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")))
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     while True:
         near = both.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("m"))
-        step = label.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("n"))
-        jump = label.select(F.col("v").alias("n"), F.col("c").alias("j"))
-        turn = cut(step.join(jump, "n").select("v", "old", F.least("n", "j").alias("c")))
+        step = label.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("n"), salt)
+        # Only labels in use are looked up: one row for each component left.
+        used = step.select("n").distinct().join(label.select(F.col("v").alias("n"), F.col("c").alias("j")), "n")
+        turn = cut(step.join(used.select("n", "j", every), ["n", "salt"]).select("v", "old", F.least("n", "j").alias("c")))
         label = turn.select("v", "c")
         if turn.filter("c < old").isEmpty():
             return label
@@ -172,15 +176,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
 
     Null and empty texts, and texts of white space, have no shingles and are linked with
-    nothing; shorter texts than ``words`` are one shingle.  Other columns are ignored.  Rows
-    that repeat a doc_id are one vertex and are all returned; with a null doc_id a row is
-    its own component (null) and kept.  An empty table gives no rows.
+    nothing; shorter texts than ``words`` are one shingle; very long ones are whole sets.
+    Other columns are ignored.  Rows that repeat a doc_id are one vertex, whatever their
+    texts, and are all returned; with a null doc_id a row is its own component (null) and
+    kept.  An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = cut(signatures(docs, words, m, half))
     real = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
+    named = cut(sig.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"))
+    # A vertex may have several sets: a doc_id that repeats with other texts.
+    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
     reps = cut(reps.select(F.col("doc_id").alias("r"), F.col("n_shingles").alias("n"), "left", "right", *sketch))
     lean = reps.drop("left", "right")
@@ -190,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
 
     def links(pairs: DataFrame) -> DataFrame:
         a, b = lean.withColumnRenamed("r", "x").alias("a"), lean.withColumnRenamed("r", "y").alias("b")
-        able = pairs.join(a, "x").join(b, "y").filter(_can_link(percent)).select("x", "y")
+        able = pairs.join(a, "x").join(b, "y").filter(_can_link(percent)).select("x", "y").distinct()
         return cut(_confirm(cut(able), docs, words, percent))
 
     def mixed(label: DataFrame) -> DataFrame:
@@ -201,7 +208,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
         return cut(named.join(some.select("key"), "key", "left_semi"))
 
     tried = cut(member.filter("r > x").select("x", F.col("r").alias("y")).distinct())
-    found = links(tried)
+    several = named.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("most")).filter("x < most")
+    same_id = cut(named.join(several, "doc_id").filter("rep > x").select("x", F.col("rep").alias("y")).distinct())
+    found = links(tried).union(same_id)
     label = components(found)
 
     rest = mixed(label)
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
     if not more.isEmpty():
         label = components(found.union(more))
 
-    out = sig.join(classes, ["k1", "k2", "n_shingles"], "left").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
+    out = named.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("c", "rep", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -56,6 +56,40 @@ def test_near_duplicates(docs):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_repeated_ids_join_their_texts(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(str(rng.randint(0, 999)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "some thing else"), (5, None), (5, "some thing else")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (5, 4, False)}
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = words(r.text)
+        sets[r.doc_id] = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set())
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = Counter((a, b) for h in holders.values() if len(h) > 1 for k, b in enumerate(sorted(h)) for a in sorted(h)[:k])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
 def test_odd_sketch_never_rules_out_a_link():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 40))
@@ -217,6 +251,24 @@ def test_shards(docs):
     assert {(r.size, r.text_crc32) for r in got if r.doc_id == 0} == {(1, 0)}
 
 
+def test_equal_texts_share_a_shard(spark):
+    rows = [(k, f"w{k} " * 50) for k in range(600)] + [(1000 + k, "copy " * 30) for k in range(50)] + [(2000 + k, "other " * 40) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "concat('s', doc_id % 3) AS source", "'en' AS lang", "1 AS size", "2 AS node", "3 AS atom")
+    got = kd_shards.shard_documents(df, shards=8).collect()
+    weight = Counter()
+    for r in got:
+        weight[r.shard] += r.size
+    assert max(weight.values()) <= 1.03 * min(weight.values()) and len(weight) == 8
+    assert all(len({r.shard for r in got if lo <= r.doc_id < lo + 1000}) == 1 for lo in (1000, 2000))
+    # Copies that outweigh a shard are parted, into as few shards as that takes.
+    hot = spark.createDataFrame(rows[:200] + [(5000 + k, "hot " * 100) for k in range(100)], "doc_id long, text string")
+    got = kd_shards.shard_documents(hot, shards=4).collect()
+    share = sum(r.size for r in got) / 4
+    least = sum(r.size for r in got if r.doc_id >= 5000) / share
+    assert len({r.shard for r in got if r.doc_id >= 5000}) <= math.ceil(least) + 1
+    assert all(abs(sum(r.size for r in got if r.shard == k) / share - 1) < 0.02 for k in range(4))
+
+
 def test_pii():
     text = "a.b@mail.example.com 1.2.3.4 999.1.1.1 +1 (743) 555-3824; 4550997810720808"
     kinds = [pii.KINDS[y] for _, _, y in pii.base_spans(text)]
