@@ -199,9 +199,12 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, block:
 
     The row that the target's end falls in is taken if more than half of it lies before, so a
     source misses its target by half of one row at most; a source of which no row were left
-    keeps its first.
+    keeps its first.  Texts without words give nothing; repeated rows are taken each on its
+    own; columns of any name pass through; an empty table gives no rows.
     """
-    rows = streams(docs.withColumn("size", word_count()), share, most, block, seed, 1)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), row)
+    rows = streams(rows, share, most, block, seed, 1)
     again = F.expr("CASE WHEN 2 * start + size < 2 * left OR (rounds = 0 AND left > 0 AND start = 0 AND size > 0) THEN 1L ELSE 0L END")
     rows = rows.withColumn("__copies", F.col("rounds") + again).filter("__copies > 0")
-    return rows.withColumn("__copy", F.expr("explode(sequence(1L, __copies))")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select("__row", F.expr("explode(sequence(1L, __copies))")).select("__row.*")
