@@ -1,16 +1,19 @@
-"""AVI files of motion JPEG: container, lossless intra frames, shots.
+"""AVI files of motion JPEG: container, intra frames, shots.
 
-Frames are grey JPEG images of the lossless process (SOF3, predictor 1, 8 bits).  Their
-Huffman table gives difference category s a code of 9 - s bits, so that code and extra bits
-make 9 bits for every difference: a valid prefix code, and one that is packed and unpacked
-in whole arrays.  The decoder reads any table; with this one it takes the array path.
+Frames are written as grey JPEG images of the lossless process (SOF3, predictor 1, 8 bits).
+Their Huffman table gives difference category s a code of 9 - s bits, so that code and extra
+bits make 9 bits for every difference: a valid prefix code, and one that is packed and
+unpacked in whole arrays.  Frames of other writers are read too: lossless ones with any
+table, and baseline DCT images (SOF0, grey or YCbCr), of which the first component is kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +103,12 @@ def _undo(d: np.ndarray) -> np.ndarray:
     return np.cumsum(d, axis=2).astype(np.uint8)
 
 
-def write_avi(frames: np.ndarray, fps: int = FPS) -> bytes:
-    """An AVI file with an idx1 index; ``frames`` are (n, height, width) bytes, height * width a multiple of 8."""
+#: Frames handled at a time, so that work arrays stay small however long a text is.
+BLOCK = 4096
+
+
+def _movi(frames: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Chunks of frames, and the size of each frame's image."""
     n, h, w = frames.shape
     head = np.frombuffer(jpeg_head(w, h), np.uint8)
     body = _pack(frames)
@@ -120,7 +127,15 @@ def write_avi(frames: np.ndarray, fps: int = FPS) -> bytes:
     flat = np.repeat(rows.ravel(), times.ravel())
     again = np.cumsum(times.ravel().astype(np.int64))[np.flatnonzero(times.ravel() == 2)] - 1
     flat[again] = 0
-    movi = flat.tobytes()
+    return flat.tobytes(), size
+
+
+def write_avi(frames: np.ndarray, fps: int = FPS) -> bytes:
+    """An AVI file with an idx1 index; ``frames`` are (n, height, width) bytes, height * width a multiple of 8."""
+    n, h, w = frames.shape
+    blocks = [_movi(frames[k : k + BLOCK]) for k in range(0, n, BLOCK)]
+    movi = b"".join(x for x, _ in blocks)
+    size = np.concatenate([np.zeros(0, np.int64), *(x for _, x in blocks)])
     step = 8 + size + (size & 1)
     index = np.empty((n, 4), "<u4")
     index[:, 0] = int.from_bytes(b"00dc", "little")
@@ -181,46 +196,171 @@ def parse_avi(data: bytes) -> tuple[list[tuple[int, int]], float]:
     return frames, 1e6 / micros if micros else 0.0
 
 
+# The Huffman tables that motion JPEG frames without tables of their own use,
+# as counts of codes by length and symbols (ITU-T T.81, annex K.3).
+_DC_COUNTS = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0))
+_AC_COUNTS = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119))
+_AC_SYMBOLS = (
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a",
+)
+
+
+def _rest(first: str) -> bytes:
+    """The symbols listed, then all others of a run and a size up to 10 in order; they have codes of one length."""
+    head = bytes.fromhex(first.replace(" ", ""))
+    return head + bytes(sorted({r << 4 | s for r in range(16) for s in range(1, 11)} - set(head)))
+
+
+def zigzag() -> np.ndarray:
+    """Place in an 8 x 8 block of each coefficient in the order of the file."""
+    cells = [(y, x) for y in range(8) for x in range(8)]
+    cells.sort(key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else c[1]))
+    return np.array([8 * y + x for y, x in cells])
+
+
+@lru_cache(64)
+def _codes(counts: tuple[int, ...] | bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(code length, symbol) of every 16 bits that a code can begin."""
+    table, k = [], 0
+    for bits, count in enumerate(counts, 1):
+        for s in symbols[k : k + count]:
+            table += [(bits, s)] * (1 << (16 - bits))
+        k += count
+    return table + [(0, 0)] * ((1 << 16) - len(table))
+
+
+class _Bits:
+    """Entropy-coded bytes without stuffing, bit by bit."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.hold, self.n = data, 0, 0, 0
+
+    def _fill(self) -> None:
+        part = self.data[self.at : self.at + 8]
+        self.at += 8
+        # Past the end come ones, as the last byte is filled.
+        self.hold = self.hold << 64 | int.from_bytes(part + b"\xff" * (8 - len(part)), "big")
+        self.n += 64
+
+    def symbol(self, table) -> int:
+        if self.n < 16:
+            self._fill()
+        bits, s = table[self.hold >> (self.n - 16) & 0xFFFF]
+        if not bits or self.at > len(self.data) + 24:
+            raise BadMedia("entropy-coded data do not fit the tables")
+        self.n -= bits
+        self.hold &= (1 << self.n) - 1
+        return s
+
+    def value(self, size: int) -> int:
+        if not size:
+            return 0
+        if self.n < size:
+            self._fill()
+        self.n -= size
+        v = self.hold >> self.n
+        self.hold &= (1 << self.n) - 1
+        return v if v >> (size - 1) else v - (1 << size) + 1
+
+
+def _baseline(scan, parts, size, quant, tables, order, restart) -> np.ndarray:
+    """The first component of a baseline scan."""
+    height, width = size
+    wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
+    cols, rows = -(-width // (8 * wide)), -(-height // (8 * high))
+    if len(parts) == 1:  # one component alone is not interleaved
+        wide = high = 1
+        cols, rows = -(-width // 8), -(-height // 8)
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    keep = np.zeros((rows * parts[0][2], cols * parts[0][1], 64), np.int32)
+    place = zigzag().tolist()
+    pieces = iter(scan)
+    bits = _Bits(next(pieces))
+    last = dict.fromkeys(order, 0)
+    for unit in range(rows * cols):
+        if restart and unit and unit % restart == 0:
+            bits, last = _Bits(next(pieces, b"")), dict.fromkeys(order, 0)
+        for n, (name, h, v, _) in enumerate(parts):
+            dc, ac = tables[order[name][0]], tables[order[name][1]]
+            for k in range(h * v):
+                last[name] += bits.value(bits.symbol(dc))
+                block = keep[unit // cols * v + k // h, unit % cols * h + k % h] if n == 0 else None
+                if block is not None:
+                    block[0] = last[name]
+                i = 1
+                while i < 64:
+                    s = bits.symbol(ac)
+                    if not s & 15:
+                        if s != 0xF0:
+                            break
+                        i += 16
+                        continue
+                    i += s >> 4
+                    v_ = bits.value(s & 15)
+                    if i > 63:
+                        raise BadMedia("a block has too many coefficients")
+                    if block is not None:
+                        block[place[i]] = v_
+                    i += 1
+    step = np.zeros(64)
+    step[zigzag()] = quant[parts[0][3]]
+    wave = np.cos((2 * np.arange(8)[:, None] + 1) * np.arange(8) * np.pi / 16) / 2
+    wave[:, 0] /= np.sqrt(2)
+    blocks = wave @ (keep * step).reshape(*keep.shape[:2], 8, 8) @ wave.T
+    image = np.clip(np.round(blocks + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(keep.shape[0] * 8, -1)
+    own_h, own_w = -(-height * parts[0][2] // high), -(-width * parts[0][1] // wide)
+    return image[:own_h, :own_w]
+
+
 def decode_jpeg(data: bytes) -> np.ndarray:
-    """A grey lossless JPEG image (SOF3, predictor 1, any Huffman table) as (height, width) bytes."""
+    """A JPEG image as (height, width) bytes: a lossless grey one (predictor 1) exactly, of a baseline one the first component."""
     if data[:2] != b"\xff\xd8":
         raise BadMedia("no JPEG image")
-    at, lookup, shape = 2, {}, None
+    tables = {(0, k): _codes(c, bytes(range(12))) for k, c in enumerate(_DC_COUNTS)} | {(1, k): _codes(c, _rest(x)) for k, (c, x) in enumerate(zip(_AC_COUNTS, _AC_SYMBOLS))}
+    at, shape, process, quant, parts, order, restart = 2, None, None, {}, [], {}, 0
     while True:
+        if at + 4 > len(data):
+            raise BadMedia("no scan")
+        if data[at] != 0xFF or data[at + 1] == 0xFF:
+            at += 1
+            continue
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
+        at += 2 + size
         if marker == 0xC4:
-            counts, symbols, k = body[1:17], body[17:], 0
-            lengths = {}
-            for bits, count in enumerate(counts, 1):
-                for s in symbols[k : k + count]:
-                    lengths[s] = bits
-                k += count
-            code, last = 0, 0
-            for s in symbols:
-                code <<= lengths[s] - last
-                lookup[lengths[s], code], last = s, lengths[s]
-                code += 1
-        elif marker == 0xC3:
-            shape = struct.unpack_from(">HH", body, 1)
+            while body:
+                n = sum(body[1:17])
+                tables[body[0] >> 4, body[0] & 15] = _codes(body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker == 0xDB:
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide == 2 else "u1", 64, 1).astype(float)
+                body = body[1 + 64 * wide :]
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body[:2])[0]
+        elif marker in (0xC0, 0xC1, 0xC3):
+            process, shape = marker, struct.unpack_from(">HH", body, 1)
+            if body[0] != 8 or not all(shape):
+                raise BadMedia("samples other than 8 bits, or no samples")
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
         elif 0xC0 <= marker <= 0xCF and marker != 0xC8:
             raise BadMedia(f"JPEG process {marker:02x} is not supported")
-        at += 2 + size
-        if marker == 0xDA:
+        elif marker == 0xDA:
+            order = {body[k]: ((0, body[k + 1] >> 4), (1, body[k + 1] & 15)) for k in range(1, 1 + 2 * body[0], 2)}
+            predictor = body[1 + 2 * body[0]]
             break
-    if shape is None:
-        raise BadMedia("no frame header")
-    end = data.rindex(b"\xff\xd9")
-    bits = np.unpackbits(np.frombuffer(data[at:end].replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
-    diffs, p = [], 0
-    for _ in range(shape[0] * shape[1]):
-        code = size = 0
-        while (size, code) not in lookup:
-            code, size, p = code << 1 | bits[p], size + 1, p + 1
-        s = lookup[size, code]
-        v = int("".join(map(str, bits[p : p + s])) or "0", 2)
-        p += s
-        diffs.append(v if not s or v >> (s - 1) else v - (1 << s) + 1)
+    if shape is None or [p[0] for p in parts] != list(order):
+        raise BadMedia("no frame header, or components in scans of their own")
+    end = data.rfind(b"\xff\xd9", at)
+    scan = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", data[at : end if end >= 0 else len(data)])]
+    if process != 0xC3:
+        return _baseline(scan, parts, shape, quant, tables, order, restart)
+    if predictor != 1 or len(parts) != 1 or restart:
+        raise BadMedia("lossless images are read in grey, with predictor 1 and without restarts")
+    bits, table = _Bits(scan[0]), tables[order[parts[0][0]][0]]
+    diffs = [bits.value(bits.symbol(table)) for _ in range(shape[0] * shape[1])]
     return _undo(np.array(diffs, np.int32).reshape(1, *shape))[0]
 
 
@@ -230,13 +370,17 @@ def read_avi(data: bytes) -> tuple[np.ndarray, float]:
     if not frames:
         return np.zeros((0, 0, 0), np.uint8), fps
     raw = np.frombuffer(data, np.uint8)
+    return np.concatenate([_read(data, raw, frames[k : k + BLOCK]) for k in range(0, len(frames), BLOCK)]), fps
+
+
+def _read(data: bytes, raw: np.ndarray, frames: list[tuple[int, int]]) -> np.ndarray:
     head = jpeg_head(WIDTH, HEIGHT)
     a = np.array([x for x, _ in frames], np.int64)
     size = np.array([x for _, x in frames], np.int64)
     k, want = len(head), WIDTH * HEIGHT * 9 // 8
     own = bool((size >= k + want).all()) and bool((raw[a[:, None] + np.arange(k)] == np.frombuffer(head, np.uint8)).all())
     if not own:
-        return np.stack([decode_jpeg(data[x : x + s]) for x, s in frames]), fps
+        return np.stack([decode_jpeg(data[x : x + s]) for x, s in frames])
     length = size - k - 2
     place = np.repeat(a + k - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
     coded = raw[place]
@@ -245,7 +389,7 @@ def read_avi(data: bytes) -> tuple[np.ndarray, float]:
     coded = coded[~stuffing]
     if len(coded) != want * len(frames):
         raise BadMedia("a frame has too few or too many samples")
-    return _unpack(coded.reshape(len(frames), want), HEIGHT, WIDTH), fps
+    return _unpack(coded.reshape(len(frames), want), HEIGHT, WIDTH)
 
 
 def shots(frames: np.ndarray, window: int = 8, factor: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
@@ -280,7 +424,10 @@ def text_frames(data: bytes) -> np.ndarray:
 
 
 def encode_texts(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Adds the AVI file of each text as a binary column; null counts as empty."""
+    """Adds the AVI file of each text as a binary column, in place of one of that name; null counts as empty.
+
+    A long text is written in blocks of frames; repeated rows are all returned; an empty table gives no rows.
+    """
 
     @F.pandas_udf("binary")
     def encode(texts):
@@ -293,7 +440,9 @@ def clips(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFr
     """Timed clip rows of AVI files: key, clip, first, last, start_s, end_s, error.
 
     A null or unreadable file gives one row with the error and null clip fields; a file
-    without frames gives no clip and no row; an empty table gives no rows.
+    without frames gives no clip and no row; a repeated row gives its clips again; of equal
+    differences all or none are cuts; a long file is read in blocks of frames; other columns
+    are ignored; an empty table gives no rows.
     """
 
     def cut_up(batches):
@@ -321,7 +470,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
     One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256 and
     tail_crc32 (of the samples read back), media_bytes, media_sha256, feature.  Null and
     empty texts are one frame of 255; equal texts give equal values; rows that repeat a
-    doc_id are all returned; an empty table gives no rows.  ``feature`` is
+    doc_id are all returned; very long texts are handled in blocks of frames; other columns are
+    ignored; an empty table gives no rows.  ``feature`` is
     frames|shots|start-end of each shot in frames.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .avi import store_texts
+from .avi import clips, encode_texts, store_texts
 from .common import table
 from .decontaminate import contaminated
 from .html_text import extract
@@ -32,6 +32,11 @@ def op4_avi_mjpeg(spark, sf_dir):
     return store_texts(table(spark, sf_dir, "documents"))
 
 
+def avi_clips(spark, sf_dir):
+    """Timed clips of every document's film."""
+    return clips(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_stupid_backoff(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_pii(spark, sf_dir):
 
 
 _ALL = (op1_decontaminate, op2_minhash_near_dedup, op3_mix_sources, op4_avi_mjpeg, op5_stupid_backoff, op6_html_text, op7_toxicity, op8_kd_shards, op9_langid, op10_pii)
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in (*_ALL, avi_clips)}
 
 #: The others are not plain SQL over the tables.
 ORACLE_SQL: dict[str, str] = {"op5_stupid_backoff": BACKOFF_SQL}
