@@ -69,7 +69,7 @@ def _keys(data: bytes, n: int) -> np.ndarray:
 
 def _pack(rows: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         for r in rows:
             out.write_batch(r)
     return sink.getvalue().to_pybytes()
@@ -80,57 +80,63 @@ def _open(data) -> pa.Table:
 
 
 def _explode(table: pa.Table):
-    """Distinct n-grams of a group in order, and the place of each order's n-grams in them."""
+    """Of each order the distinct n-grams of a group, sorted, and the place of each word's n-gram in them (-1 for none); and the first word of each text."""
     orders, first = grams(table.column("text"))
-    full = [x != 0 if k else np.ones(len(x), bool) for k, x in enumerate(orders)]
-    keys, place = np.unique(np.concatenate([x[f] for x, f in zip(orders, full)]), return_inverse=True)
-    at, ends = [], 0
-    for f in full:
-        here = np.full(len(f), -1)
-        here[f] = place[ends : (ends := ends + int(f.sum()))]
-        at.append(here)
-    return keys, place, at, first
+    out = []
+    while orders:
+        x = orders.pop(0)
+        full = x != 0
+        keys, place = np.unique(x[full], return_inverse=True)
+        here = np.full(len(x), -1, np.int32)
+        here[full] = place
+        out.append((keys, here))
+    return out, first
+
+
+def _in_groups(batches, group_bytes: int):
+    """(number, rows) of groups of about ``group_bytes`` of text, by place in the input."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        off = buffers(batch.column(1))[1]
+        for i, j in chunks(off, group_bytes):
+            held.append(batch.slice(i, j - i))
+            size += int(off[j] - off[i])
+            if size >= group_bytes // 2:
+                yield number, held
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
 
 
 def documents_in_groups(docs: DataFrame, group_bytes: int) -> DataFrame:
-    """(g, data): the rows of ``docs`` in packed groups of about ``group_bytes`` of text, by place in the input."""
+    """(g, data): the rows of ``docs`` in packed groups."""
 
-    def cut_up(batches):
-        seen, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            off = buffers(batch.column(1))[1]
-            for i, j in chunks(off, group_bytes):
-                held.append(batch.slice(i, j - i))
-                size += int(off[j] - off[i])
-                if size >= group_bytes // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([_pack(held)], pa.binary())], names=["g", "data"])
-                    seen, held, size = seen + 1, [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([_pack(held)], pa.binary())], names=["g", "data"])
+    def run(batches):
+        for g, rows in _in_groups(batches, group_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([_pack(rows)], pa.binary())], names=["g", "data"])
 
-    return docs.mapInArrow(cut_up, "g long, data binary")
+    return docs.mapInArrow(run, "g long, data binary")
 
 
-def exploded(groups: DataFrame, bits: int) -> DataFrame:
-    """(part, g, n, keys, counts): the n-grams of each group in 2**bits hash ranges."""
+def exploded(docs: DataFrame, group_bytes: int, bits: int) -> DataFrame:
+    """(part, g, n, keys, counts): the n-grams of each group, of each order in 2**bits hash ranges."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << U(64 - bits) if bits else np.zeros(0, U)
 
     def run(batches):
-        for batch in batches:
-            for g, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, place, _, _ = _explode(_open(data.as_buffer()))
-                counts = np.bincount(place, minlength=len(keys))
-                edges = np.arange(1, 1 << bits, dtype=np.uint64) << U(64 - bits) if bits else np.zeros(0, U)
+        for g, rows in _in_groups(batches, group_bytes):
+            for k, (keys, here) in enumerate(_explode(pa.Table.from_batches(rows))[0]):
+                counts = np.bincount(here[here >= 0], minlength=len(keys))
                 at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 full = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(full.astype(np.int32)), pa.array(np.full(len(full), g)), pa.array(np.diff(at)[full]),
+                        pa.array((full + (k << bits)).astype(np.int32)), pa.array(np.full(len(full), g)), pa.array(np.diff(at)[full]),
                         pa.array([_sorted(keys[at[b] : at[b + 1]]) for b in full], pa.binary()), pa.array([_small(counts[at[b] : at[b + 1]]) for b in full], pa.binary()),
                     ],
                     names=["part", "g", "n", "keys", "counts"],
                 )
 
-    return groups.mapInArrow(run, "part int, g long, n long, keys binary, counts binary")
+    return docs.mapInArrow(run, "part int, g long, n long, keys binary, counts binary")
 
 
 def joined_counts(grams_: DataFrame) -> DataFrame:
@@ -148,7 +154,7 @@ def joined_counts(grams_: DataFrame) -> DataFrame:
     return grams_.groupBy("part").applyInArrow(run, "g long, part int, n long, totals binary")
 
 
-def score(docs: DataFrame, group_bytes: int = 6 << 20, part_grams: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, group_bytes: int = 8 << 20, part_grams: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, log10_score, per_word, n_triples_seen, n_pairs_seen, n_unseen of every row of ``docs``.
 
     With counts c of all other rows and N their words, P1(w) is c(w) / N, or 0.4 / N for a
@@ -163,33 +169,30 @@ def score(docs: DataFrame, group_bytes: int = 6 << 20, part_grams: int = 4 << 20
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(word_count()).alias("n")).first()["n"] or 0
-    bits = max(0, -(-total * 2 // part_grams) - 1).bit_length()
+    bits = max(0, -(-total // part_grams) - 1).bit_length()
     groups = documents_in_groups(docs, group_bytes)
 
     def rate(left: pa.Table, back: pa.Table) -> pa.Table:
         t = _open(left.column("data")[0].as_buffer())
-        keys, _, at, first = _explode(t)
+        orders, first = _explode(t)
         n = np.diff(first)
         back = back.sort_by("part")
         totals = np.concatenate([np.zeros(0, np.int64), *(_counts(x.as_py(), k) for x, k in zip(back.column("totals"), back.column("n").to_pylist()))])
-        if len(totals) != len(keys):
+        if len(totals) != sum(len(keys) for keys, _ in orders):
             raise RuntimeError("the totals do not fit the n-grams asked for")
         doc = np.repeat(np.arange(len(n)), n)
-
-        def others(here):
-            """Counts in all other rows; 0 where there is no n-gram."""
-            out = np.zeros(len(here), np.int64)
-            some = here >= 0
+        c, at, start = [], [here >= 0 for _, here in orders], 0
+        for (keys, here), some in zip(orders, at):
+            # Counts in all other rows; 0 where there is no n-gram.
             _, inverse, own = np.unique(doc[some] * np.int64(max(len(keys), 1)) + here[some], return_inverse=True, return_counts=True)
-            out[some] = totals[here[some]] - own[inverse]
-            return out
-
+            c.append(np.zeros(len(here), np.int64))
+            c[-1][some] = totals[start + here[some]] - own[inverse]
+            start += len(keys)
         before = lambda c: np.concatenate([[0], c[:-1]])[: len(c)]
-        c = [others(here) for here in at]
         rest = np.maximum(total - n[doc], 1)
         p = np.where(c[0] > 0, c[0], BACKOFF) / rest
         for k in range(1, ORDER):
-            p = np.where(c[k] > 0, c[k] / np.maximum(before(c[k - 1]), 1), np.where(at[k] >= 0, BACKOFF, 1.0) * p)
+            p = np.where(c[k] > 0, c[k] / np.maximum(before(c[k - 1]), 1), np.where(at[k], BACKOFF, 1.0) * p)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(n)).astype(float)
         log = add(np.log10(p))
         whole = lambda x: pa.array(add(x).astype(np.int64))
@@ -198,7 +201,7 @@ def score(docs: DataFrame, group_bytes: int = 6 << 20, part_grams: int = 4 << 20
             "n_triples_seen": whole(c[2] > 0), "n_pairs_seen": whole(c[1] > 0), "n_unseen": whole(c[0] <= 0),
         })
 
-    told = joined_counts(exploded(groups, bits))
+    told = joined_counts(exploded(docs, group_bytes, bits))
     schema = "doc_id long, n_words long, log10_score double, per_word double, n_triples_seen long, n_pairs_seen long, n_unseen long"
     return groups.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(rate, schema)
 
