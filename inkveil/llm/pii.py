@@ -2,10 +2,11 @@
 
 The patterns (e-mail, IPv4, card, international phone) are exact.  The field looks at the
 stretches around digits and '@': tokens are grouped into segments of at most ``LONGEST``
-tokens, a whole segment is scored by features of its text and its neighbours, and dynamic
-programming picks the boundaries and types together.  It is trained here, by the gradient of
-its likelihood, on sentences drawn from a seeded grammar.  Its spans are added where they do
-not overlap one of the patterns.
+tokens and ``GAPS`` gaps of white space, a whole segment is scored by features of its text, its
+neighbours and the nearest word of ``CUE_REACH`` tokens before, and dynamic programming picks
+the boundaries and types together.  It is trained here, by the gradient of its likelihood, on
+sentences drawn from a seeded grammar.  Its spans are added where they do not overlap one of
+the patterns.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 LONGEST = 64
+GAPS = 4
+CUE_REACH = 8
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CLUSTER = re.compile(r"[0-9][0-9.\x20()-]*")
@@ -81,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # -- the field ---------------------------------------------------------------------------
 
 #: Words before a value that tell its type; fixed values.
-_CUES = {"tel": "tel", "phone": "tel", "telefon": "tel", "call": "tel", "fax": "tel", "mobile": "tel", "token": "key", "secret": "key", "key": "key", "password": "key", "apikey": "key", "card": "card", "visa": "card", "ssn": "ssn", "social": "ssn", "mail": "mail", "email": "mail", "ip": "ip", "host": "ip", "version": "ver", "v": "ver", "page": "ver"}
+_CUES = {"tel": "tel", "phone": "tel", "telefon": "tel", "call": "tel", "fax": "tel", "mobile": "tel", "token": "key", "secret": "key", "key": "key", "password": "key", "apikey": "key", "card": "card", "visa": "card", "ssn": "ssn", "social": "ssn", "mail": "mail", "email": "mail", "ip": "ip", "host": "ip", "version": "ver", "v": "ver", "page": "ver", "iban": "iban", "commit": "ver", "sha": "ver", "order": "ver", "passwd": "key", "credential": "key"}
 
 
 def _regions(text: str):
@@ -106,7 +109,7 @@ def _segments(text: str, tokens: list[tuple[int, int]]):
         if k not in "dw+(" or (k == "w" and (i and kinds[i - 1] in "dw")):
             continue
         cue = "-"
-        for back in range(i - 1, max(-1, i - 8), -1):
+        for back in range(i - 1, max(-1, i - CUE_REACH), -1):
             if kinds[back] == "w":
                 cue = _CUES.get(text[slice(*tokens[back])].lower(), "-")
                 break
@@ -114,7 +117,7 @@ def _segments(text: str, tokens: list[tuple[int, int]]):
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
             last = kinds[j - 1]
             words += last == "s"
-            if words > 4 or "\n" in text[slice(*tokens[j - 1])]:
+            if words > GAPS or "\n" in text[slice(*tokens[j - 1])]:
                 break
             if last not in "dw" or (j < len(kinds) and kinds[j] in "dw" and last in "dw"):
                 continue
@@ -207,20 +210,25 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         b = f"{rng.choice(('mail', 'host', 'example'))}{d(rng.randint(0, 1))}"
         return rng.choice((f"{a}@{b}.example.com", f"{a}@{b}.org", f"{a} @ {b}.com", f"{a}@{b} . com"))
 
-    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 40, 64))))
+    chars = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    hexed = lambda: chars("0123456789abcdef", rng.choice((32, 40, 64)))
+    mixed = lambda: chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3) + chars("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", rng.randint(17, 37)) + d(1)
+    secret = lambda: rng.choice((hexed, hexed, mixed))()
+    key = lambda: rng.choice(("token", "secret", "key", "password", "apikey", "passwd")) + rng.choice((" = ", "=", ": ", " is ", " ")) + rng.choice(('"', "'", ""))
+    iban = lambda: f"{chars('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 2)}{d(2)}" + "".join(f"{sep}{d(4)}" for sep in [rng.choice(("", " "))] * rng.randint(3, 5)) + rng.choice(("", d(2)))
     octet = lambda: str(rng.randint(0, 255))
-    makers = [(0, email, ""), (1, lambda: ".".join(octet() for _ in range(4)), ""), (2, card, ""), (3, phone, ""), (4, secret, 'token = "'), (5, lambda: f"{d(3)}-{d(2)}-{d(4)}", "ssn ")]
-    noise = [lambda: d(rng.randint(1, 6)), lambda: f"version {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}.{d(2)}.{d(4)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"{d(3)},{d(3)}.{d(2)}", lambda: d(rng.randint(17, 24)), lambda: f"{word()}{d(2)}", lambda: f"{300 + int(d(2))}.{d(3)}.{d(1)}.{d(2)}", lambda: f"@{word()}"]
+    makers = [(0, email, ""), (1, lambda: ".".join(octet() for _ in range(4)), ""), (2, card, ""), (3, phone, ""), (4, secret, None), (5, lambda: f"{d(3)}-{d(2)}-{d(4)}", "ssn ")]
+    noise = [lambda: d(rng.randint(1, 6)), lambda: f"version {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}.{d(2)}.{d(4)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"{d(3)},{d(3)}.{d(2)}", lambda: d(rng.randint(17, 24)), lambda: f"{word()}{d(2)}", lambda: f"{300 + int(d(2))}.{d(3)}.{d(1)}.{d(2)}", lambda: f"@{word()}", iban, iban, lambda: f"iban {iban()}", lambda: rng.choice(("commit ", "sha ", "order ")) + hexed()]
     text, spans = "", []
     for _ in range(rng.randint(1, 3)):
         text += " ".join(word() for _ in range(rng.randint(1, 4))) + " "
         if rng.random() < 0.65:
             y, make, lead = rng.choice(makers)
-            lead = lead if lead or rng.random() < 0.7 else rng.choice(("tel ", "card ", "mail ", "ip ", ""))
+            lead = key() if lead is None else lead if lead or rng.random() < 0.7 else rng.choice(("tel ", "card ", "mail ", "ip ", ""))
             value = make()
             text += lead
             spans.append((len(text), len(text) + len(value), y))
-            text += value + ('"' if lead.endswith('"') else "")
+            text += value + (lead[-1] if lead and lead[-1] in QUOTES else "")
         else:
             text += rng.choice(noise)()
         text += rng.choice((" ", ". ", ", ", "%%% ", "!! "))
@@ -228,7 +236,7 @@ def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 @functools.lru_cache(maxsize=4)
-def train(sentences: int = 500, passes: int = 4, rate: float = 0.3, seed: int = 5) -> dict:
+def train(sentences: int = 1000, passes: int = 4, rate: float = 0.3, seed: int = 5) -> dict:
     """Weights by the gradient of the log-likelihood of the segmentations."""
     rng, w = random.Random(seed), defaultdict(float)
     data = []
@@ -278,10 +286,12 @@ def _joined(spans) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every row of ``docs``.
 
     The counts and the digest are of the fixed patterns; ``spans`` lists those and the
-    field's, as kind:start:end in code points.  Null and empty texts have none (counts 0,
+    field's, as kind:start:end in code points, and ``n_spans`` counts them.  Of equally good
+    segmentations the one with fewer and later segments is taken; very long texts are read
+    whole, stretch by stretch.  Null and empty texts have none (counts 0,
     the digest of nothing, an empty list); a null doc_id stays null; repeated rows are all
     returned; other columns are ignored; an empty table gives no rows.
     """
@@ -289,16 +299,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 base = base_spans(t)
                 for k in range(4):
                     cols[k].append(sum(1 for s in base if s[2] == k))
                 cols[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                cols[5].append(_joined(all_spans(t, base, weights)))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                spans = all_spans(t, base, weights)
+                cols[5].append(_joined(spans))
+                cols[6].append(len(spans))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

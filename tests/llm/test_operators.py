@@ -277,6 +277,27 @@ def test_pii():
     assert [pii.KINDS[y] for _, _, y in spans] == ["secret"]
 
 
+def test_field_on_fresh_sentences():
+    weights, rng = pii.train(), random.Random(99)
+    hit, extra, missed = Counter(), Counter(), Counter()
+    for _ in range(400):
+        text, gold = pii._sentence(rng)
+        got = set(pii.all_spans(text, pii.base_spans(text), weights))
+        hit.update(y for *_, y in got & set(gold))
+        extra.update(y for *_, y in got - set(gold))
+        missed.update(y for *_, y in set(gold) - got)
+    for y in range(len(pii.KINDS)):
+        assert hit[y] >= 0.9 * (hit[y] + missed[y]) and hit[y] >= 0.9 * (hit[y] + extra[y])
+
+
+def test_field_on_lines_of_its_own():
+    found = lambda t: [pii.KINDS[y] for *_, y in pii.all_spans(t, pii.base_spans(t), pii.train())]
+    assert found("call (743) 555-3824 today") == ["phone"] and found("ssn 123-45-6789.") == ["ssn"]
+    assert found("secret: 3f786850e387550fdab836ed7e6dc881de23001b") == ["secret"]
+    for clean in ("IBAN DE44 5001 0517 5407 3249 31 ok", "pay to GB29NWBK60161331926819 now", "commit 3f786850e387550fdab836ed7e6dc881de23001b fixed", "order 2024-05-06 no 12345", "", "x" * 200_000):
+        assert found(clean) == []
+
+
 def test_decontamination(spark, docs):
     item = "A train leaves at 5 km from the town and Mary Ann walks 7 km to meet it there today"
     other = item.replace("5", "12").replace("7", "30").replace("Mary Ann", "Bob")
