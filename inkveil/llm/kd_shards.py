@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, literal_table
 
 _RANGE = 1 << 30
 _KEYS = 1 << 62
@@ -51,7 +51,7 @@ def _points(docs: DataFrame, shards: int, heavy: float, often: float) -> tuple[D
     known = [(k, r.asDict(), r["w"] * shards > weight and r["n"] > 1) for k, r in enumerate(sorted(known, key=lambda r: r["t"]))]
     atoms = {k: r for k, r, parted in known if not parted and r["w"] > heavy * weight / shards}
     data = [(r["t"], r["c1"], r["c2"], r["c3"], parted, k if k in atoms else None) for k, r, parted in known]
-    some = docs.sparkSession.createDataFrame(data, "t long, k1 long, k2 long, k3 long, parted boolean, atom int")
+    some = literal_table(docs.sparkSession, data, "t long, k1 long, k2 long, k3 long, parted boolean, atom int")
     rows = rows.join(F.broadcast(some), "t", "left")
     # Rows of known groups need no partner; a hash of their own keeps them from one task.
     rows = rows.withColumn("j", F.when(F.col("parted").isNotNull(), F.xxhash64("t", "doc_id")).otherwise(F.col("t")))
@@ -69,7 +69,7 @@ def _place(value, low, span):
 
 def _with(rows: DataFrame, nodes: list[tuple], more: str) -> DataFrame:
     """``rows`` with the dimension of their node, its scale and further columns of it; at most a row a shard is broadcast."""
-    table = rows.sparkSession.createDataFrame(nodes, "node int, dim int, base long, span double, " + more)
+    table = literal_table(rows.sparkSession, nodes, "node int, dim int, base long, span double, " + more)
     return rows.join(F.broadcast(table), "node", "left")
 
 
@@ -159,7 +159,7 @@ def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance:
         rows = _turn(rows, turns[-1])
         width = {m: k for n, k in width.items() for m, k in (((n, k // 2), (n + k // 2, k - k // 2)) if k > 1 else ((n, k),))}
     points = reduce(_turn, turns, points.withColumn("node", F.lit(0)))
-    homes = docs.sparkSession.createDataFrame(sorted(home.items()), "atom int, home int")
+    homes = literal_table(docs.sparkSession, sorted(home.items()), "atom int, home int")
     points = points.join(F.broadcast(homes), "atom", "left").withColumn("shard", F.coalesce("home", "node"))
     return points.drop("atom", "node", "home"), count
 
