@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,15 +88,24 @@ def split_blocks(boxes: DataFrame, parts: str | None = None) -> DataFrame:
 
     Boxes are cut in proportion to the width before and in the token, padded, and never
     padded into the token before.  A box of at most one token keeps its text and geometry.
+    All tokens of a box are in one array, so nothing is shuffled.
     """
-    b = boxes.withColumn("parts", F.col(parts) if parts else tokens("text"))
-    whole = b.filter(F.size("parts") <= 1).select("request_id", F.col("box_id").alias("group_id"), F.lit(0).alias("part_no"), "text", *[F.col(c).cast("double") for c in ("x_min", "y_min", "x_max", "y_max")])
-    b = b.filter(F.size("parts") > 1).select("request_id", F.col("box_id").alias("group_id"), "text", *[F.col(c).cast("int").alias(c) for c in ("x_min", "y_min", "x_max", "y_max")], F.posexplode("parts").alias("part_no", "p"))
-    char = (F.col("x_max") - F.col("x_min")) / weight(F.col("text"))
-    pad = F.greatest(F.lit(3), (char * 0.9).cast("int"))
-    place = lambda at: F.col("x_min") + weight(F.substring(F.col("text"), F.lit(1), at)) * char
-    b = b.withColumn("pad", pad).withColumn("from", place(F.col("p.start"))).withColumn("to", place(F.col("p.stop")))
-    last = F.lag("to").over(Window.partitionBy("request_id", "group_id").orderBy("part_no"))
-    left = F.when(last.isNull(), F.col("pad")).otherwise(F.greatest(F.lit(0.0), F.least(F.col("pad").cast("double"), F.col("from") - (last + F.col("pad")))))
-    b = b.withColumn("x0", F.greatest(F.col("x_min"), (F.col("from") - left).cast("int"))).withColumn("x1", F.least(F.col("x_max"), F.col("to").cast("int") + F.col("pad")))
-    return whole.unionByName(b.select("request_id", "group_id", "part_no", F.col("p.token").alias("text"), *[F.col(a).cast("double").alias(n) for a, n in (("x0", "x_min"), ("y_min", "y_min"), ("x1", "x_max"), ("y_max", "y_max"))]))
+    corners = ("x_min", "y_min", "x_max", "y_max")
+    more = [c for c in ("scale",) if c in boxes.columns]
+    b = boxes.select("request_id", F.col("box_id").alias("group_id"), "text", *corners, *more, (F.col(parts) if parts else tokens("text")).alias("parts"))
+    x_min, y_min, x_max, y_max = (F.col(c).cast("int") for c in corners)
+    char = (x_max - x_min) / F.nullif(weight(F.col("text")), F.lit(0.0))
+    b = b.withColumn("char", char).withColumn("pad", F.greatest(F.lit(3), (F.col("char") * 0.9).cast("int")))
+    place = lambda at: x_min + weight(F.substring(F.col("text"), F.lit(1), at)) * F.col("char")
+    b = b.withColumn("ends", F.transform("parts", lambda p: F.struct(p.token.alias("token"), place(p.start).alias("from"), place(p.stop).alias("to"))))
+
+    def cut(p, i):
+        # The end before is the unpadded one.
+        free = p["from"] - (F.get("ends", i - 1)["to"] + F.col("pad"))
+        left = F.when(i == 0, F.col("pad").cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.col("pad").cast("double"), free)))
+        x0, x1 = F.greatest(x_min, (p["from"] - left).cast("int")), F.least(x_max, p["to"].cast("int") + F.col("pad"))
+        return F.struct(p.token.alias("text"), *[v.cast("double").alias(c) for c, v in zip(corners, (x0, y_min, x1, y_max))])
+
+    whole = F.array(F.struct("text", *[F.col(c).cast("double").alias(c) for c in corners]))
+    b = b.withColumn("cuts", F.when(F.size("parts") > 1, F.transform("ends", cut)).otherwise(whole))
+    return b.select("request_id", "group_id", *more, F.posexplode("cuts").alias("part_no", "c")).select("request_id", "group_id", "part_no", "c.*", *more)

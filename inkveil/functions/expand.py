@@ -16,9 +16,8 @@ MONTHS = (
 )
 SEX = {"f": ["female", "femme", "fille", "feminin"], "m": ["male", "homme", "garcon", "masculin"], "o": ["other", "autre", "non-binary", "nonbinary", "non binaire"]}
 NUMERIC = ("dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")
-#: Order of day (d), month (m), year (y) and the separators between them; glued forms put the year first.
-TEXTUAL = ("d m y", "m d y", "y m d", "ymd", "ym d", "y md")
-TEXTUAL_SHORT = ("d m y", "m d y")
+#: Order of day (D), month (M) and year (Y, or y of two digits); glued forms put the year first.
+TEXTUAL = ("D M Y", "M D Y", "Y M D", "YMD", "YM D", "Y MD", "D M y", "M D y")
 
 
 def dicom_date(value: Column) -> Column:
@@ -27,18 +26,18 @@ def dicom_date(value: Column) -> Column:
 
 
 def date_variants(date: Column) -> Column:
-    """All spellings of a date; an empty array for null."""
-    day, month = F.dayofmonth(date), F.month(date)
-    year = F.date_format(date, "yyyy")
-    days = (day.cast("string"), F.lpad(day.cast("string"), 2, "0"))
-    out = [F.date_format(date, f) for f in NUMERIC]
-    for names in MONTHS:
-        name = F.element_at(F.array(*map(F.lit, names)), month)
-        for forms, y in ((TEXTUAL, year), (TEXTUAL_SHORT, F.substring(year, 3, 2))):
-            for form in forms:
-                for d in days:
-                    out.append(F.concat(*[{"d": d, "m": name, "y": y}.get(c, F.lit(c)) for c in form]))
-    return F.when(date.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(*out)))
+    """All spellings of a date; an empty array for null.
+
+    Forms are one literal array that the day, the year and the month's names are put into, so
+    the expression stays small.
+    """
+    day, year = F.dayofmonth(date).cast("string"), F.date_format(date, "yyyy")
+    names = F.array(*[F.element_at(F.array(*map(F.lit, m)), F.month(date)) for m in MONTHS])
+    forms = F.transform(F.array(*map(F.lit, TEXTUAL)), lambda f: F.replace(F.replace(f, F.lit("Y"), year), F.lit("y"), F.substring(year, 3, 2)))
+    dated = F.flatten(F.transform(F.array(day, F.lpad(day, 2, "0")), lambda d: F.transform(forms, lambda f: F.replace(f, F.lit("D"), d))))
+    textual = F.flatten(F.transform(names, lambda n: F.transform(dated, lambda f: F.replace(f, F.lit("M"), n))))
+    numeric = F.array(*[F.date_format(date, f) for f in NUMERIC])
+    return F.when(date.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(numeric, textual)))
 
 
 def months_over(birth: Column, study: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-IMAGE = "height:int,width:int,n_channels:int,data:binary"
+_WHOLE = ("rows", "columns", "bits_allocated", "samples_per_pixel")
+#: Transfer syntaxes of frames as they are, and none given; fixed values.
+UNCOMPRESSED = ("", "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2")
 
 
 class Codec(Protocol):
@@ -66,35 +67,45 @@ def decode_raw(request: dict) -> np.ndarray | None:
     return to_bgr(colors)
 
 
+_NEEDED = ("image", "rows", "columns", "bits_allocated", "samples_per_pixel", "rescale_slope", "rescale_intercept", "window_center", "window_width", "is_monochrome1", "palette_color_lut", "transfer_syntax_uid", "photometric_interpretation")
+_DECODED = "struct<pixels:struct<height:int,width:int,n_channels:int,data:binary>,decode_error:string>"
+
+
+def decode_one(request: dict, codec: Codec | None = None) -> tuple[np.ndarray | None, str | None]:
+    """The BGR image of a request, or None and the reason."""
+    try:
+        if (request.get("transfer_syntax_uid") or "") in UNCOMPRESSED:
+            image = decode_raw(request)
+        elif codec is None:
+            return None, "codec unavailable"
+        else:
+            image = codec.decode(request["image"], request)
+    except (ValueError, KeyError) as e:
+        return None, str(e)
+    return image, "Failed to decode image" if image is None else None
+
+
 def decode(requests: DataFrame, codec: Codec | None = None) -> DataFrame:
-    """Adds ``pixels`` (an image struct, BGR) and ``decode_error`` to request rows.
+    """Adds ``pixels`` (an image struct, BGR) and ``decode_error`` to request rows, in place of ``image``.
 
     Compressed frames, told by their transfer syntax, go to ``codec``; without one they are
-    error rows.  Other rows of the table are not touched.
+    error rows.
     """
-    raw = ("", "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2")
-    columns = requests.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pixels, errors = [], []
-            for r in pdf.to_dict("records"):
-                r = {k: None if not isinstance(v, (bytes, list, dict)) and pd.isna(v) else int(v) if k in ("rows", "columns", "bits_allocated", "samples_per_pixel") else v for k, v in r.items()}
-                image, error = None, None
-                try:
-                    if (r.get("transfer_syntax_uid") or "") not in raw:
-                        error = "codec unavailable" if codec is None else None
-                        image = codec.decode(r["image"], r) if codec is not None else None
-                    else:
-                        image = decode_raw(r)
-                except (ValueError, KeyError) as e:
-                    error = str(e)
-                pixels.append(None if image is None else {"height": image.shape[0], "width": image.shape[1], "n_channels": image.shape[2], "data": np.ascontiguousarray(image).tobytes()})
-                errors.append(error if image is None and error else None if image is not None else "Failed to decode image")
-            yield pdf.assign(pixels=pixels, decode_error=errors)
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in requests.dtypes)
-    return requests.mapInPandas(run, f"{fields}, pixels struct<{IMAGE}>, decode_error string").select(*columns, "pixels", "decode_error")
+    needed = [c for c in _NEEDED if c in requests.columns]
+
+    @F.pandas_udf(_DECODED)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        pixels, errors = [], []
+        for values in zip(*[rows[c] for c in needed]):
+            # Arrow brings integers with nulls as floats.
+            r = {k: None if v is None or v != v else int(v) if k in _WHOLE else v for k, v in zip(needed, values)}
+            image, error = decode_one(r, codec)
+            pixels.append(None if image is None else {"height": image.shape[0], "width": image.shape[1], "n_channels": image.shape[2], "data": np.ascontiguousarray(image).tobytes()})
+            errors.append(error)
+        return pd.DataFrame({"pixels": pd.Series(pixels, dtype=object), "decode_error": pd.Series(errors, dtype=object)})
+
+    rest = [c for c in requests.columns if c != "image"]
+    return requests.select(*rest, run(F.struct(*needed)).alias("d")).select(*rest, "d.pixels", "d.decode_error")
 
 
 def background(image: np.ndarray, x1: int, y1: int, x2: int, y2: int, radius: float = 30.0) -> tuple[int, int, int] | None:
@@ -107,6 +118,30 @@ def background(image: np.ndarray, x1: int, y1: int, x2: int, y2: int, radius: fl
     return tuple(int(v) for v in np.floor((near if len(near) else roi).mean(0)))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def shade(values: pd.Series, slope: pd.Series, intercept: pd.Series, center: pd.Series, width: pd.Series, inverted: pd.Series) -> pd.Series:
+    """``apply_lut`` of arrays of stored values; null settings are not applied."""
+    none = lambda v: None if v is None or v != v else v
+    return pd.Series([apply_lut(np.asarray(x), *map(none, s), bool(i)).tolist() for x, *s, i in zip(values, slope, intercept, center, width, inverted)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def palette_colors(index: pd.Series, red: pd.Series, green: pd.Series, blue: pd.Series) -> pd.Series:
+    """``apply_palette`` of arrays of indices: RGB triples, null without all three channels."""
+    out = [apply_palette(np.asarray(x), {"red": list(r), "green": list(g), "blue": list(b)}) for x, r, g, b in zip(index, red, green, blue)]
+    return pd.Series([None if x is None else x.tolist() for x in out], dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in "bgr"]))
+def pixel_background(pixels: pd.Series) -> pd.DataFrame:
+    """``background`` of arrays of (b, g, r) values."""
+    rows = []
+    for p in pixels:
+        image = np.stack([np.asarray(v, np.float64) for v in p])[None]
+        rows.append(background(image, 0, 0, image.shape[1], 1))
+    return pd.DataFrame(rows, columns=["b", "g", "r"])
+
+
 @F.pandas_udf(T.StringType())
 def box_color(pixels: pd.DataFrame, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
     """Hex background colour of a box of an image; null outside it."""

@@ -23,7 +23,7 @@ def normalize(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
+def _normalize_any(texts: pd.Series) -> pd.Series:
     return texts.map(normalize, na_action="ignore")
 
 
@@ -33,6 +33,19 @@ def normalize_ascii(text: Column) -> Column:
     return F.regexp_replace(plain, r"(?<=[a-z])0(?=[a-z])", "o")
 
 
+def normalize_text(text: Column | str) -> Column:
+    """The normaliser of any text: ASCII rows natively, only the others in Arrow batches."""
+    text = F.col(text) if isinstance(text, str) else text
+    # The Arrow function sees null for an ASCII row, which costs it nothing.
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, normalize_ascii(text)).otherwise(_normalize_any(F.when(~plain, text)))
+
+
+def normalize_list(texts: Column) -> Column:
+    """Every ASCII text of an array, normalised."""
+    return F.transform(texts, normalize_ascii)
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word per 64 characters of ``a``."""
     places: dict[str, int] = {}
@@ -99,9 +112,59 @@ fuzz_ratio = _scorer(ratio)
 fuzz_partial_ratio = _scorer(partial_ratio)
 
 
+def token_ratio(text: str, term: str) -> float:
+    """Best ratio of a word of ``text`` with the whole ``term``."""
+    return max((ratio(w, term) for w in text.split()), default=0.0)
+
+
+def run_matches(run: str, term: str) -> bool:
+    """Whether joined texts spell a term: whole, without spaces, as a part, or after leading words are dropped."""
+    if len(run) < 0.6 * len(term):
+        return False
+    if ratio(run, term) >= 85 or ratio(run.replace(" ", ""), term) >= 85:
+        return True
+    if len(run) <= 1.3 * len(term) and partial_ratio(run, term) >= 90:
+        return True
+    words = run.split()
+    for k in range(1, len(words)):
+        tail = " ".join(words[k:])
+        if len(tail) < 0.6 * len(term):
+            return False
+        bare = tail.replace(" ", "")
+        if ratio(tail, term) >= 85 or (len(bare) >= 0.85 * len(term) and ratio(bare, term) >= 85):
+            return True
+    return False
+
+
+def member_ratio(text: str, term: str) -> float:
+    """How well a text, as it is or without spaces, is part of a term."""
+    return max(partial_ratio(text, term), partial_ratio(text.replace(" ", ""), term) if " " in text else 0.0)
+
+
+_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("part", "whole", "word")])
+
+
+@F.pandas_udf(_SCORES)
+def pair_scores(texts: pd.Series, terms: pd.Series, part: pd.Series, word: pd.Series) -> pd.DataFrame:
+    """Partial and whole ratio where ``part``, the best word's ratio where ``word``; else 0."""
+    rows = [(partial_ratio(a, b) if p else 0.0, ratio(a, b) if p and len(a) <= 5 else 0.0, token_ratio(a, b) if w else 0.0) for a, b, p, w in zip(texts, terms, part, word)]
+    return pd.DataFrame(rows, columns=["part", "whole", "word"], dtype="float64")
+
+
+@F.pandas_udf(T.BooleanType())
+def run_spells(runs: pd.Series, terms: pd.Series) -> pd.Series:
+    return pd.Series([run_matches(a, b) for a, b in zip(runs, terms)], dtype=bool)
+
+
+@F.pandas_udf(T.DoubleType())
+def member_score(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    """``member_ratio``; 0 for null."""
+    return pd.Series([0.0 if a is None else member_ratio(a, b) for a, b in zip(texts, terms)], dtype="float64")
+
+
 def register(spark: SparkSession) -> None:
     """Makes the scores and the normaliser callable from SQL."""
-    for name, f in (("fuzz_ratio", fuzz_ratio), ("fuzz_partial_ratio", fuzz_partial_ratio), ("normalize_text", normalize_text)):
+    for name, f in (("fuzz_ratio", fuzz_ratio), ("fuzz_partial_ratio", fuzz_partial_ratio), ("normalize_text", _normalize_any)):
         spark.udf.register(name, f)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +22,27 @@ def overlaps(golden: DataFrame, detected: DataFrame) -> DataFrame:
 def coverage(golden: DataFrame, detected: DataFrame) -> DataFrame:
     """(image_id, golden_id, fraction): share of a golden rectangle under the union of detected ones.
 
-    Clipped rectangles cut a golden one into strips at their vertical edges; within a strip
-    the covered height is a union of intervals.
+    The clipped rectangles of a golden one are one array.  Their vertical edges cut it into
+    strips; within a strip the covered height is a union of intervals, summed in one pass.
     """
-    parts = overlaps(golden, detected)
     keys = [KEY, "golden_id"]
-    edges = parts.select(*keys, F.explode(F.array("cx1", "cx2")).alias("x")).distinct()
-    edges = edges.withColumn("right", F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))).filter("right IS NOT NULL")
-    spans = edges.join(parts, keys).filter("cx1 <= x AND cx2 >= right").select(*keys, "x", "right", "cy1", "cy2").distinct()
-    strip = Window.partitionBy(*keys, "x").orderBy("cy1", "cy2")
-    above = F.max("cy2").over(strip.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("cy2") - F.greatest(F.col("cy1"), F.coalesce(above, F.col("cy1"))))
-    area = spans.withColumn("a", (F.col("right") - F.col("x")) * new).groupBy(*keys).agg(F.sum("a").alias("covered"))
+    parts = overlaps(golden, detected).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cy1", "cy2", "cx1", "cx2"))).alias("ps"))
+    edges = F.array_sort(F.array_distinct(F.concat("ps.cx1", "ps.cx2")))
+
+    def strip(x, i):
+        right = F.get("edges", i + 1)
+        inside = F.filter("ps", lambda p: (p.cx1 <= x) & (p.cx2 >= right))
+        # How far down the strip is covered, and how much of it.
+        start = F.struct(F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("sum"))
+        add = lambda a, p: F.struct(
+            F.greatest(a.low, p.cy2.cast("double")).alias("low"), (a["sum"] + F.greatest(F.lit(0.0), p.cy2 - F.greatest(p.cy1.cast("double"), a.low))).alias("sum")
+        )
+        return F.when(right.isNull(), F.lit(0.0)).otherwise((right - x) * F.aggregate(inside, start, add, lambda a: a["sum"]))
+
+    area = parts.withColumn("edges", edges).select(*keys, F.aggregate(F.transform("edges", strip), F.lit(0.0), lambda a, v: a + v).alias("covered"))
     whole = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     out = golden.join(area, keys, "left")
-    return out.select(*keys, F.when((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.coalesce("covered", F.lit(0)) / whole).otherwise(F.lit(0.0)).cast("double").alias("fraction"))
+    return out.select(*keys, F.when((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.coalesce("covered", F.lit(0.0)) / whole).otherwise(F.lit(0.0)).cast("double").alias("fraction"))
 
 
 def false_positives(golden: DataFrame, detected: DataFrame) -> DataFrame:
@@ -59,9 +67,42 @@ def compare_tags(golden: DataFrame, detected: DataFrame) -> DataFrame:
     return both.groupBy(KEY).agg(pick(F.col("g") & F.col("d"), "matched"), pick(F.col("d").isNull(), "missing"), pick(F.col("g").isNull(), "extra"))
 
 
-def latency_percentiles(rows: DataFrame, keys: list[str], value: str, percents=(50, 95, 99)) -> DataFrame:
-    """Value at index min(n - 1, int(p / 100 * n)) of the sorted values."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+def latency_percentiles(rows: DataFrame, keys: list[str], value: str, percents=(50, 95, 99), slack: float = 0.005) -> DataFrame:
+    """Value at index min(n - 1, int(p / 100 * n)) of the sorted values.
+
+    Sketches bracket each percentile; then only the few values inside a bracket are ordered,
+    after those below it are counted, so that no task sorts a whole key.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).alias("v"))
+    ks = [f"k{i}" for i in range(len(keys))]
+    ends = [min(max(p / 100 + d, 0.0), 1.0) for p in percents for d in (-slack, slack)]
+    sketch = rows.groupBy(*ks).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", ends, 10_000).alias("q"))
     at = lambda p: F.least(F.col("n") - 1, (F.lit(p) / F.lit(100.0) * F.col("n")).cast("long"))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == at(p), F.col("v"))).alias(f"p{p}") for p in percents])
+    # Brackets at either end take all that lies beyond the sketch.
+    one = lambda i, p: F.struct(
+        F.lit(p).alias("p"), at(p).alias("at"), F.when(F.lit(ends[2 * i] <= 0), F.col("least")).otherwise(F.get("q", F.lit(2 * i))).alias("lo"),
+        F.when(F.lit(ends[2 * i + 1] >= 1), F.col("most")).otherwise(F.get("q", F.lit(2 * i + 1))).alias("hi"),
+    )
+    asked = sketch.select(*[F.col(k).alias(f"a_{k}") for k in ks], F.array(*[one(i, p) for i, p in enumerate(percents)]).alias("asked"))
+    same = [F.col(k).eqNullSafe(F.col(f"a_{k}")) for k in ks]
+    each = rows.join(asked, reduce(lambda a, b: a & b, same) if same else F.lit(True)).select(*ks, "v", F.explode("asked").alias("a")).select(*ks, "v", "a.*")
+    # One row for each value in a bracket, and one for all below it.
+    each = each.filter("v <= hi").withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v")))
+    counts = each.groupBy(*ks, "p", "at", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*ks, "p").orderBy(F.asc_nulls_first("v")))
+    found = counts.withColumn("upto", upto).filter("v IS NOT NULL AND at < upto AND at >= upto - c")
+    out = found.groupBy(*ks).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+    return out.select(*[F.col(a).alias(b) for a, b in zip(ks, keys)], *[f"p{p}" for p in percents])
+
+
+def status_histogram(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, share): rows of each status, and their share of all."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    # One row a status is left, so the window over all of them is small.
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def throughput(rows: DataFrame, seconds: str, keys: list[str]) -> DataFrame:
+    """(keys, n, total_s, per_second): rows over the time they took; null where they took none."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(seconds).alias("total_s"))
+    return out.withColumn("per_second", F.col("n") / F.nullif(F.col("total_s"), F.lit(0.0)))

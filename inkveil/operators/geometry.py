@@ -35,3 +35,20 @@ def polygon_bounds(points: Column) -> list[Column]:
     """Bounding box of an array of (x, y) arrays, truncated to whole numbers."""
     axis = lambda i: F.transform(points, lambda p: p[i].cast("int"))
     return [F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1))]
+
+
+def clip_box(x1, y1, x2, y2, width, height, pad: int = 0) -> list[Column]:
+    """A box found on an image with a border of ``pad``, moved back and cut to the image."""
+    cut = lambda v, most: F.greatest(F.lit(0), F.least((v - pad).cast("int"), most))
+    return [cut(x1, width), cut(y1, height), cut(x2, width), cut(y2, height)]
+
+
+def zip_shortest(*arrays: str) -> Column:
+    """Structs of the elements at the same place, as many as the shortest array has."""
+    return F.slice(F.arrays_zip(*arrays), F.lit(1), F.least(*map(F.size, arrays)))
+
+
+def scale_factor(height: Column, width: Column, min_side: int = 1500) -> Column:
+    """What an image is enlarged by before its text is read: up to ``min_side`` on the shorter side."""
+    side = F.least(height, width)
+    return F.when(side >= min_side, F.lit(1.0)).otherwise(F.lit(float(min_side)) / side)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -15,14 +15,12 @@ from inkveil.functions.blocks import split_blocks
 from inkveil.functions.image import box_color, decode
 from inkveil.functions.text import normalize_text
 from inkveil.operators.color import group_by_color
-from inkveil.operators.geometry import grow, rectangle
+from inkveil.operators.geometry import grow, rectangle, rescale
 from inkveil.operators.match import detect
 from inkveil.operators.settle import settle
+from inkveil.plans import backends
 from inkveil.sources.requests import NO_LIST, NOTHING, check, tag_rows
 
-SPECIAL = ("PatientName", "PatientSex", "PatientBirthDate", "StudyDate", "PatientAge")
-
-
 class OcrBackend(Protocol):
     """Text recognition: BGR image to texts and [x_min, y_min, x_max, y_max] boxes."""
 
@@ -51,37 +49,58 @@ def build_terms(tags: DataFrame) -> DataFrame:
 
 
 def prepare(boxes: DataFrame) -> DataFrame:
-    """Recognised boxes, split, numbered and normalised."""
+    """Recognised boxes, split, numbered and normalised.
+
+    Boxes of an enlarged image are split there and then brought back to the size of the
+    original by their ``scale``.
+    """
     parts = split_blocks(boxes)
+    if "scale" in parts.columns:
+        corners = ("x_min", "y_min", "x_max", "y_max")
+        small = dict(zip(corners, rescale([F.col(c) for c in corners], F.coalesce("scale", F.lit(1.0)))))
+        parts = parts.withColumns(small).drop("scale")
     order = Window.partitionBy("request_id").orderBy("group_id", "part_no")
     return parts.withColumn("box_id", F.row_number().over(order) - 1).withColumn("norm", normalize_text("text"))
 
 
-def recognise(images: DataFrame, backend: OcrBackend) -> DataFrame:
-    """(request_id, box_id, text, box) of decoded images; one backend per Python worker."""
+def recognise(images: DataFrame, backend: OcrBackend | str, enhance: Callable[[np.ndarray], tuple[np.ndarray, float]] | None = None) -> DataFrame:
+    """(request_id, box_id, text, box, scale) of decoded images.
+
+    ``backend`` is an object, or the name of a registered one, which every Python worker then
+    makes for itself when it is first used.  ``enhance`` returns the image to read and what it
+    was enlarged by.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = backends.get(backend) if isinstance(backend, str) else backend
         for pdf in batches:
             rows = []
             for rid, p in zip(pdf["request_id"], pdf["pixels"]):
-                texts, found = backend.detect(np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"], p["n_channels"]))
-                rows += [(rid, i, t, *map(float, b)) for i, (t, b) in enumerate(zip(texts, found))]
-            yield pd.DataFrame(rows, columns=["request_id", "box_id", "text", "x_min", "y_min", "x_max", "y_max"])
+                image, scale = np.frombuffer(p["data"], np.uint8).reshape(p["height"], p["width"], p["n_channels"]), 1.0
+                if enhance is not None:
+                    image, scale = enhance(image)
+                texts, found = reader.detect(image)
+                rows += [(rid, i, t, *map(float, b), scale) for i, (t, b) in enumerate(zip(texts, found))]
+            yield pd.DataFrame(rows, columns=["request_id", "box_id", "text", "x_min", "y_min", "x_max", "y_max", "scale"])
 
-    return images.select("request_id", "pixels").mapInPandas(run, "request_id long, box_id int, text string, x_min double, y_min double, x_max double, y_max double")
+    return images.select("request_id", "pixels").mapInPandas(run, "request_id long, box_id int, text string, x_min double, y_min double, x_max double, y_max double, scale double")
 
 
 def sensitive_boxes(boxes: DataFrame, tags: DataFrame) -> DataFrame:
     """Split boxes that hold sensitive text, in reading order."""
     texts = settle(prepare(boxes))
-    return texts.join(detect(texts, build_terms(tags)), ["request_id", "box_id"], "left_semi")
+    return texts.join(detect(texts, build_terms(tags)), ["request_id", "box_id"], "left_semi").orderBy("request_id", "box_id")
+
+
+def in_order(tags: DataFrame) -> DataFrame:
+    """(request_id, detected_tags): tags of each request in the caller's order."""
+    return tags.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tag_pos", "tag"))), lambda s: s.tag).alias("detected_tags"))
 
 
 def report_tags(boxes: DataFrame, tags: DataFrame) -> DataFrame:
     """(request_id, detected_tags): tags found on their own terms, in the caller's order."""
     hits = detect(prepare(boxes), build_terms(tags), by_tag=True).select("request_id", "tag").distinct()
-    found = tags.join(hits, ["request_id", "tag"], "left_semi")
-    return found.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tag_pos", "tag"))), lambda s: s.tag).alias("detected_tags"))
+    return in_order(tags.join(hits, ["request_id", "tag"], "left_semi"))
 
 
 def _images(requests: DataFrame, codec) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,11 +113,11 @@ def _images(requests: DataFrame, codec) -> tuple[DataFrame, DataFrame, DataFrame
     return images.filter("pixels IS NOT NULL"), bad, good.join(busy.select("request_id"), "request_id", "left_anti")
 
 
-def deidentify(requests: DataFrame, backend: OcrBackend, codec=None) -> DataFrame:
+def deidentify(requests: DataFrame, backend: OcrBackend | str, codec=None, enhance=None) -> DataFrame:
     """(request_id, status, error, masks, message, sop_instance_uid) of request rows."""
     images, bad, idle = _images(requests, codec)
     tags = tag_rows(images)
-    hits = sensitive_boxes(settle(recognise(images, backend)), tags)
+    hits = sensitive_boxes(settle(recognise(images, backend, enhance)), tags)
     x = [F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]
     grown = hits.select("request_id", F.col("box_id").alias("ord"), *[c.alias(n) for c, n in zip(grow(*x), ("x1", "y1", "x2", "y2"))])
     painted = grown.join(images.select("request_id", "pixels"), "request_id").withColumn("color", box_color("pixels", "x1", "y1", "x2", "y2")).filter("color IS NOT NULL")
@@ -111,10 +130,10 @@ def deidentify(requests: DataFrame, backend: OcrBackend, codec=None) -> DataFram
     return _with_rest(out, bad, idle)
 
 
-def report(requests: DataFrame, backend: OcrBackend, codec=None) -> DataFrame:
+def report(requests: DataFrame, backend: OcrBackend | str, codec=None, enhance=None) -> DataFrame:
     """(request_id, status, error, detected_tags, message, sop_instance_uid) of request rows."""
     images, bad, idle = _images(requests, codec)
-    found = report_tags(settle(recognise(images, backend)), tag_rows(images))
+    found = report_tags(settle(recognise(images, backend, enhance)), tag_rows(images))
     done = images.select("request_id", "sop_instance_uid").join(found, "request_id", "left").withColumn("detected_tags", F.coalesce("detected_tags", F.array().cast("array<string>")))
     n = F.size("detected_tags")
     message = F.when(n > 0, F.concat(n.cast("string"), F.lit(" sensitive tags detected"))).otherwise(F.lit(NOTHING))

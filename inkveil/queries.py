@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import expand
 from inkveil.functions.blocks import split_blocks, weight
-from inkveil.functions.text import fuzz_partial_ratio, fuzz_ratio, normalize_ascii, normalize_text
+from inkveil.functions.image import palette_colors, shade
+from inkveil.functions.text import fuzz_ratio, normalize_ascii, normalize_text
 from inkveil.operators import color, evaluate, geometry, match
 from inkveil.plans import api
 
@@ -132,11 +132,9 @@ def _noisy(spark, d):
 
 @query(f"SELECT noisy, w FROM {_NOISY} CROSS JOIN {_WORDS} WHERE length(noisy) >= 3 AND length(w) >= 3 AND abs(length(noisy) - length(w)) <= {_EDITS} AND levenshtein(noisy, w) <= {_EDITS}")
 def name_edit_join(spark, d):
-    """Noisy words and the names they may be."""
+    """Noisy words and the names they may be."""
     a, b = _noisy(spark, d)
-    low = F.least(F.length("noisy"), F.length("w"))
-    band = (F.length("noisy") >= 3) & (F.length("w") >= 3) & (F.abs(F.length("noisy") - F.length("w")) <= match.max_edits(low))
-    return a.join(F.broadcast(b), band).filter(F.levenshtein("noisy", "w") <= match.max_edits(low))
+    return match.near_names(a.withColumnRenamed("noisy", "word"), b.withColumnRenamed("w", "name")).toDF("noisy", "w")
 
 
 _LCS = """list_last(list_reduce(list_prepend(list_transform(range(len({1})+1), lambda i: 0), list_transform(string_split({0},''), lambda x: [unicode(x)::BIGINT])), lambda prev, xr: list_reduce(list_prepend([0::BIGINT], list_transform(range(1,len({1})+1), lambda j: [j])), lambda acc, jj: list_append(acc, CASE WHEN unicode({1}[jj[1]])=xr[1] THEN prev[jj[1]]+1 ELSE greatest(prev[jj[1]+1], acc[-1]) END))))"""
@@ -146,19 +144,8 @@ _LCS = """list_last(list_reduce(list_prepend(list_transform(range(len({1})+1), l
 def token_ratio_scores(spark, d):
     """Scores of the pairs in the length band."""
     a, b = _noisy(spark, d)
-    pairs = a.join(F.broadcast(b), (11 * F.length("noisy") > 9 * F.length("w")) & (11 * F.length("w") > 9 * F.length("noisy")))
-    return pairs.select("noisy", "w", fuzz_ratio("noisy", "w").alias("score"))
-
-
-
-
-@query(None)
-def partial_ratio_scores(spark, d):
-    """Parts of names against whole names in the length band (brute force in the tests)."""
-    a, b = _noisy(spark, d)
-    names = t(spark, d, "part").select(F.col("p_name").alias("term")).distinct()
-    pairs = a.join(F.broadcast(names), (F.length("noisy") >= 3) & (F.length("noisy") >= F.lit(0.45) * F.length("term")) & (F.length("term") >= F.lit(0.45) * F.length("noisy")))
-    return pairs.select("noisy", "term", fuzz_partial_ratio("noisy", "term").alias("score"))
+    pairs = match.by_length(a.withColumnRenamed("noisy", "norm"), b.withColumnRenamed("w", "term"), lambda m, n: (11 * m > 9 * n) & (11 * n > 9 * m), 64)
+    return pairs.select(F.col("norm").alias("noisy"), F.col("term").alias("w"), fuzz_ratio("norm", "term").alias("score"))
 
 
 _BLOCKS = f"SELECT l_orderkey AS request_id, l_linenumber AS box_id, l_returnflag || 'NAME' || l_linenumber || ',' || l_linestatus || ' WARD' AS text, 10 * l_linenumber AS x, 10 * l_linenumber + CAST(l_quantity AS INT) * 5 + 40 AS x2, CAST(l_orderkey % 50 AS INT) AS y FROM {_LINES}"
@@ -208,8 +195,7 @@ r4 AS (SELECT r.request_id, start_id, e.next_id AS cur, 4 AS hop, combined || '
 SELECT request_id, start_id, hop, combined FROM r1 UNION ALL SELECT request_id, start_id, hop, combined FROM r2 UNION ALL SELECT request_id, start_id, hop, combined FROM r3 UNION ALL SELECT request_id, start_id, hop, combined FROM r4""")
 def run_expand(spark, d):
     """J6, W5."""
-    boxes = _boxes(spark, d)
-    return match.runs(boxes, match.next_boxes(boxes)).select("request_id", "start_id", "hop", "combined")
+    return match.runs(_boxes(spark, d)).select("request_id", "start_id", "hop", "combined")
 
 
 @query("SELECT o_orderkey, w AS token FROM (SELECT o_orderkey, o_custkey, unnest([CAST(o_custkey % 100000 + 1000 AS VARCHAR), CAST(o_orderkey % 1000 AS VARCHAR), 'a' || o_orderkey]) AS w FROM orders) WHERE regexp_full_match(w, '[0-9]{4,}') AND contains('id' || (o_custkey + 1000) || 'x', w)")
@@ -218,14 +204,14 @@ def member_filter_digits(spark, d):
     o = t(spark, d, "orders")
     words = F.array((F.col("o_custkey") % 100000 + 1000).cast("string"), (F.col("o_orderkey") % 1000).cast("string"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")))
     rows = o.select("o_orderkey", F.concat(F.lit("id"), (F.col("o_custkey") + 1000).cast("string"), F.lit("x")).alias("term"), F.explode(words).alias("token"))
-    return rows.filter(F.col("token").rlike("^[0-9]{4,}$") & F.contains("term", "token")).select("o_orderkey", "token")
+    return rows.filter(match.has_number(F.col("token"), F.col("term"))).select("o_orderkey", "token")
 
 
 @query("SELECT l_orderkey AS request_id, list(l_returnflag || l_linenumber ORDER BY l_linenumber DESC) AS detected_tags FROM " + _LINES + " WHERE l_discount > 0.04 GROUP BY 1")
 def detected_tags_ordered(spark, d):
     """Found tags in the caller's order."""
     rows = lines(spark, d).filter("l_discount > 0.04").select(F.col("l_orderkey").alias("request_id"), (-F.col("l_linenumber")).alias("tag_pos"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("tag"))
-    return rows.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tag_pos", "tag"))), lambda s: s.tag).alias("detected_tags"))
+    return api.in_order(rows)
 
 
 _GOLD = "SELECT o_orderkey AS image_id, 0 AS golden_id, 0 AS x1, 0 AS y1, 40 + CAST(o_custkey % 20 AS INT) AS x2, 30 AS y2 FROM orders"
@@ -315,26 +301,28 @@ def format_rects(spark, d):
 
 @query("WITH e AS (SELECT event_id, value * 2.0 - 10 AS v FROM events), w AS (SELECT event_id, (least(greatest(v, 0.0), 128.0) - 0.0) / 128.0 * 255 AS y FROM e) SELECT event_id, CAST(trunc(y) AS INT) AS shade, CAST(trunc(255 - y) AS INT) AS inverted FROM w")
 def window_level_lut(spark, d):
-    """F23 with slope 2, intercept -10, centre 64, width 128."""
-    v = F.col("value") * 2.0 - 10
-    y = (F.least(F.greatest(v, F.lit(0.0)), F.lit(128.0)) - 0.0) / 128.0 * 255
-    return t(spark, d, "events").select("event_id", y.cast("int").alias("shade"), (255 - y).cast("int").alias("inverted"))
+    """F23 with slope 2, intercept -10, centre 64, width 128, as it is and inverted."""
+    lut = lambda inverted: F.get(shade(F.array("value"), F.lit(2.0), F.lit(-10.0), F.lit(64.0), F.lit(128.0), F.lit(inverted)), F.lit(0))
+    return t(spark, d, "events").select("event_id", lut(False).alias("shade"), lut(True).alias("inverted"))
 
 
 @query("SELECT event_id, CASE WHEN hi > lo THEN CAST(trunc((value - lo) / (hi - lo) * 255) AS INT) ELSE 0 END AS shade FROM (SELECT event_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events)")
 def minmax_stretch(spark, d):
-    """A5: each image's own range."""
-    e = t(spark, d, "events")
-    span = e.groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    shade = F.when(F.col("hi") > F.col("lo"), ((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 255).cast("int")).otherwise(0)
-    return e.join(span, "user_id").select("event_id", shade.alias("shade"))
+    """A5: an image of each user's values, in its own range."""
+    none = [F.lit(None).cast("double")] * 4
+    images = t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_id", "value")).alias("v"))
+    images = images.withColumn("shade", shade(F.col("v.value"), *none, F.lit(False)))
+    return images.select(F.explode(F.arrays_zip(F.col("v.event_id").alias("event_id"), "shade")).alias("x")).select("x.event_id", "x.shade")
 
 
-@query("SELECT l_orderkey, l_linenumber, [255, 128, 64, 0][CAST(least(greatest(l_partkey % 7 - 1, 0), 3) AS INT) + 1] AS red FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, [255, 128, 64, 0][i] AS red, CAST(trunc([0, 300, 65535, 257][i] / 65535.0::DOUBLE * 255) AS INT) AS wide FROM (SELECT l_orderkey, l_linenumber, CAST(least(greatest(l_partkey % 7 - 1, 0), 3) AS INT) + 1 AS i FROM lineitem)")
 def palette_lookup(spark, d):
-    """Index clipped to the palette."""
-    at = F.least(F.greatest(F.col("l_partkey") % 7 - 1, F.lit(0)), F.lit(3)).cast("int") + 1
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, (255, 128, 64, 0))), at).alias("red"))
+    """Index clipped to the palette, of 8 and of 16 bits."""
+    ints = lambda *v: F.array(*[F.lit(x) for x in v])
+    narrow, wide = ints(255, 128, 64, 0), ints(0, 300, 65535, 257)
+    index = F.array((F.col("l_partkey") % 7 - 1).cast("int"))
+    first = lambda p: F.get(F.get(palette_colors(index, p, p, p), F.lit(0)), F.lit(0))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", first(narrow).alias("red"), first(wide).alias("wide"))
 
 
 @query("WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, " + ", ".join(f"v[CAST(least(len(v) - 1, trunc({p}.0::DOUBLE / 100.0::DOUBLE * len(v))) AS INT) + 1] AS p{p}" for p in (50, 95, 99)) + " FROM s")
@@ -345,9 +333,15 @@ def latency_percentiles(spark, d):
 
 @query("SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY 1")
 def status_histogram(spark, d):
-    """A13, A14."""
-    n = t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """A13."""
+    return evaluate.status_histogram(t(spark, d, "events"), "event_type")
+
+
+@query("SELECT user_id, count(*) AS n, sum(value) AS total_s, count(*) / nullif(sum(value), 0) AS per_second FROM (SELECT user_id, CAST(event_id % 7 AS DOUBLE) AS value FROM events) GROUP BY 1")
+def throughput(spark, d):
+    """A14."""
+    rows = t(spark, d, "events").select("user_id", (F.col("event_id") % 7).cast("double").alias("s"))
+    return evaluate.throughput(rows, "s", ["user_id"])
 
 
 @query("SELECT event_id, 0 AS tag_pos, 'k' AS tag, CAST(props->>'k' AS VARCHAR) AS value FROM events WHERE json_exists(props, '$.k')")
@@ -371,33 +365,3 @@ def polygon_boxes(spark, d):
     a, b, y = (F.col("s_suppkey") % 13).cast("double") + 0.0, (20 + F.col("s_suppkey") % 5).cast("double") + 0.5, (F.col("s_suppkey") % 7).cast("double") + 0.25
     points = F.array(F.array(a, y), F.array(b, y), F.array(b, F.lit(9.75)), F.array(a, F.lit(9.75)))
     return t(spark, d, "supplier").select("s_suppkey", *[c.alias(n) for c, n in zip(geometry.polygon_bounds(points), ("x1", "y1", "x2", "y2"))])
-
-
-def _requests(spark, d):
-    """A request per supplier: nation, a date and a number as tags, and noisy boxes of the same."""
-    nation = t(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    key, word = F.col("s_suppkey"), F.upper("n_name")
-    day, number = F.date_add(F.lit("1950-01-15").cast("date"), (key % 9000).cast("int")), (key + 96000000).cast("string")
-    s = t(spark, d, "supplier").join(nation, "s_nationkey").select(key.alias("request_id"), word.alias("word"), day.alias("day"), number.alias("number"))
-    tags = [("PatientName", F.concat("word", F.lit("^anna"))), ("PatientBirthDate", F.date_format("day", "yyyyMMdd")), ("PatientID", F.col("number"))]
-    tags = F.array(*[F.struct(F.lit(i).alias("tag_pos"), F.lit(n).alias("tag"), v.alias("value")) for i, (n, v) in enumerate(tags)])
-    texts = F.array(F.concat(F.translate("word", "EO", "C0"), F.lit(","), F.col("number")), F.date_format("day", "dd"), F.date_format("day", "MM"), F.date_format("day", "yyyy"), F.lit("SIEMENS"))
-    boxes = s.select("request_id", F.posexplode(texts).alias("box_id", "text"))
-    x = F.when(F.col("box_id") == 0, 0).otherwise(F.col("box_id") * 60)
-    y = F.when(F.col("box_id").isin(0, 4), F.col("box_id") * 40).otherwise(60)
-    box = ((x, "x_min"), (y, "y_min"), (x + F.when(F.col("box_id") == 0, 300).otherwise(40), "x_max"), (y + 20, "y_max"))
-    return boxes.select("*", *[c.cast("double").alias(n) for c, n in box]), s.select("request_id", F.explode(tags).alias("t")).select("request_id", "t.*")
-
-
-@query()
-def detect_sensitive(spark, d):
-    """Masked boxes of every supplier's request."""
-    boxes, tags = _requests(spark, d)
-    return api.sensitive_boxes(boxes, tags).select("request_id", "box_id", "group_id", "text", "x_min", "y_min", "x_max", "y_max")
-
-
-@query()
-def report_sensitive(spark, d):
-    """Tags found in every supplier's request."""
-    boxes, tags = _requests(spark, d)
-    return api.report_tags(boxes, tags)

@@ -20,12 +20,18 @@ def read_requests(spark: SparkSession, path: str, kind: str = "parquet") -> Data
     return spark.read.schema(SCHEMA).format(kind).load(path)
 
 
-def scan_dicom(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that are DICOM by name or by the mark at byte 128, hidden ones left out, by path."""
+def scan_dicom(spark: SparkSession, folder: str, only: str = "") -> DataFrame:
+    """Files that are DICOM by name or by the mark at byte 128, hidden ones left out, by path.
+
+    ``only`` keeps paths that hold it.  Listing and names come first; contents are read when a
+    row needs them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
+    files = files.filter(~name.startswith(".") & F.col("path").contains(only))
+    named = F.lower(name).endswith(".dcm")
     mark = F.decode(F.substring("content", 129, 4), "US-ASCII") == "DICM"
-    return files.filter(~name.startswith(".") & (F.lower(name).endswith(".dcm") | mark)).select("path", "content").orderBy("path")
+    return files.filter(F.when(named, F.lit(True)).otherwise((F.col("length") >= 132) & mark)).select("path", "content").orderBy("path")
 
 
 def golden_name(path: Column) -> Column:
@@ -55,7 +61,9 @@ def tag_rows(requests: DataFrame, key: str = "request_id", json: str = "sensitiv
     keys = F.array_distinct(F.json_object_keys(json))
     values = F.from_json(F.col(json), "map<string,string>")
     rows = requests.select(key, values.alias("values"), F.posexplode(keys).alias("tag_pos", "tag"))
-    return rows.select(key, "tag_pos", "tag", F.element_at("values", F.col("tag")).alias("value"))
+    # The parsed map holds a repeated key more than once.
+    own = F.filter(F.map_entries("values"), lambda e: e.key == F.col("tag"))
+    return rows.select(key, "tag_pos", "tag", F.element_at(own, -1).value.alias("value"))
 
 
 def to_response(rows: DataFrame, columns: list[str]) -> DataFrame:
