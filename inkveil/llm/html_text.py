@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,9 +60,9 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attrs: str, inside: set[str]) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether only its class or id says so."""
-    if tag in DROP or tag == "header" and not inside & {"article", "main"}:
+def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether only its class or id says so; ``inside`` an article or main."""
+    if tag in DROP or tag == "header" and not inside:
         return True, False
     if "=" not in attrs and "hidden" not in attrs.lower():
         return False, False
@@ -74,7 +75,7 @@ def _boilerplate(tag: str, attrs: str, inside: set[str]) -> tuple[bool, bool]:
             for words in map(_WORD.findall, value.split()):
                 found = set() if not words or words[0] in _BESIDE else HINTS & set(words)
                 # The header of an article or of a section holds a title.
-                if tag in _HEADINGS or inside & {"article", "main"}:
+                if tag in _HEADINGS or inside:
                     found -= {"header"}
                 hint |= bool(found)
     return False, hint
@@ -110,11 +111,14 @@ def parse(text: str) -> Node:
     """The tree of a page; broken markup is closed as browsers do in the common cases."""
     root = Node("body", None, False)
     stack, at, end = [root], 0, len(text)
-    lower = None
+    lower, opened = None, Counter()  # elements open by tag: where none is, the stack isn't searched
 
     def pop_to(tags, scope) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                opened.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in scope:
@@ -147,7 +151,7 @@ def parse(text: str) -> Node:
             pop_to(_PAIRS[tag], ("ul", "ol", "dl", "table", "select"))
         attrs = m[4]
         up = stack[-1]
-        node = Node(tag, up, *_boilerplate(tag, attrs, {x.tag for x in stack}))
+        node = Node(tag, up, *_boilerplate(tag, attrs, any(opened[t] for t in _HOLDERS)))
         up.children.append(node)
         up.parts.append(node)
         if tag in RAW:
@@ -156,10 +160,9 @@ def parse(text: str) -> Node:
                 close = lower.find(f"</{tag}", at)
                 # An unclosed text-like element ends with the page, an unclosed title with its line of markup.
                 at = end if close < 0 else (text.find(">", close) + 1 or end)
-        elif tag not in VOID and not attrs.endswith("/"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCK:
+        elif tag not in VOID and (tag in BLOCK or not attrs.endswith("/")):
             stack.append(node)
+            opened[tag] += 1
     _settle(root)
     return root
 
@@ -230,7 +233,10 @@ def _chosen(order: list[Node]) -> tuple[list[Node], bool]:
             marks.add(peak[node])
     holder = _within(best, _HOLDERS)
     if holder is not None:
-        held = {_within(n, _HOLDERS) for n in marks} - {None}
+        inner = {}
+        for node in order:  # the nearest holder of each element, from the top down
+            inner[node] = node if node.tag in _HOLDERS else inner.get(node.parent)
+        held = {inner[n] for n in marks} - {None}
         return [n for n in order if n is holder or n in held], False
     # A paragraph's inline markup or one paragraph of an article: the element that holds the article whole.
     while best.parent is not None and (best.tag not in BLOCK or best.tag in _PROSE):
@@ -283,12 +289,11 @@ def main_text(page: str | None) -> str:
     chosen, straight = _chosen(order)
     if straight:
         return _text(root, chosen)
-    kept, out = set(chosen), []
-    for node in chosen:
-        up = node.parent
-        while up is not None and up not in kept:
-            up = up.parent
-        if up is None:
+    kept, under, out = set(chosen), set(), []
+    for node in order:  # what lies in a chosen element is in its text
+        if node.parent in kept or node.parent in under:
+            under.add(node)
+        elif node in kept:
             out.append(_text(node))
     return " ".join(x for x in out if x)
 
@@ -296,9 +301,10 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Null and empty pages, and pages without text, give an empty text; a null page_id or url
-    stays null; repeated rows are all returned; other columns are ignored; an empty table
-    gives no rows.
+    Null and empty pages, and pages without text, give an empty text; of equally dense parts
+    the first in the page is taken; time grows in proportion to a page, however deep its
+    elements; a null page_id or url stays null; repeated rows are all returned; other columns
+    are ignored; an empty table gives no rows.
     """
 
     def run(batches):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -221,6 +222,20 @@ def test_html_hints():
     assert html_text.main_text(page + "<div class='comments'><article class='comment-body'>" + "me too " * 200 + "</article></div>") == "Title Part " + text
 
 
+def test_html_of_great_depth():
+    text = " ".join(["word"] * 60)
+
+    def seconds(n):
+        pages = (f"{'<div>' * n}<p>{text}</p>{'</div>' * n}", "<b></i>" * n + f"<p>{text}</p>", "<article>" * n + f"<p>{text}</p>", "<p>" + "<i>" * n + text)
+        start = time.perf_counter()
+        for page in pages:
+            assert html_text.main_text(page) == text
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, None, "<p>x y</p>", 5), (None, "u", None, 6)], "page_id long, url string, html string, n_chars int")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "x y", 3), (None, "", 0)}
