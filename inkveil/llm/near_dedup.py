@@ -142,29 +142,37 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long").distinct()
 
 
-def components(edges: DataFrame, salts: int = 32) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, c): c is the smallest vertex that can be reached from v.
 
     Labels spread to neighbours and jump to the label of their label, all in joins; each
     turn is written to the checkpoint folder, and the number of turns grows with the
-    logarithm of the longest path.  A large component has many rows with one label, so the
-    few rows that labels are looked up in are repeated under ``salts`` numbers.
+    logarithm of the longest path.  A large component's rows that look up one label are dealt
+    anew by the skew handling of the join, as nothing after it needs them in place.
     """
     both = cut(edges.select(F.col("x").alias("v"), F.col("y").alias("u")).union(edges.select(F.col("y"), F.col("x"))))
     label = cut(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")))
-    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     while True:
         near = both.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("m"))
-        step = label.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("n"), salt)
-        # Only labels in use are looked up: one row for each component left.
-        used = step.select("n").distinct().join(label.select(F.col("v").alias("n"), F.col("c").alias("j")), "n")
-        turn = cut(step.join(used.select("n", "j", every), ["n", "salt"]).select("v", "old", F.least("n", "j").alias("c")))
+        step = label.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("n"))
+        jump = label.select(F.col("v").alias("n"), F.col("c").alias("j"))
+        turn = cut(step.join(jump, "n").select("v", "old", F.least("n", "j").alias("c")))
         label = turn.select("v", "c")
         if turn.filter("c < old").isEmpty():
             return label
 
 
+def joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (v, c) of a graph after edges (x, y) are added: only components that these meet are joined anew."""
+    of = lambda end: label.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
+    ends = more.join(of("x"), "x", "left").join(of("y"), "y", "left").select("x", "y", F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
+    ends = cut(ends)
+    merged = components(ends.filter("a != b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+    # Vertices that no edge met before are components of their own.
+    known = label.unionByName(ends.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("a").alias("c")), F.struct(F.col("y").alias("v"), F.col("b").alias("c")))).alias("e")).select("e.*").filter("v = c").distinct().join(label.select("v"), "v", "left_anti"))
+    return known.join(merged.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("v", F.coalesce("d", "c").alias("c"))
+
+
 def _can_link(percent: int) -> Column:
     """Whether the sizes and sketches of a and b allow a link; the link itself is confirmed on the sets."""
     differ = "+".join(f"bit_count(a.s{i} ^ b.s{i})" for i in range(SKETCH))
@@ -220,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
     across = cut(across.join(tried, ["x", "y"], "left_anti"))
     more = cut(_confirm(across, docs, words, percent))
     if not more.isEmpty():
-        label = components(found.union(more))
+        label = joined(label, more)
 
     out = named.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("c", "rep", "doc_id")).otherwise(F.col("doc_id"))
