@@ -23,8 +23,6 @@ from .common import cut
 WEIGHTS = (3, 1, 2)
 #: Rounds of the permutation of a source's blocks.
 ROUNDS = 24
-#: More sources than this are refused: their totals are planned on the driver.
-MOST_SOURCES = 100_000
 
 
 @dataclass
@@ -124,17 +122,18 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, shards: int, per_bucket: int = 1024) -> DataFrame:
+def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, shards: int, per_bucket: int = 1024, most_sources: int = 100_000) -> DataFrame:
     """``rows`` (doc_id, source, size, ...) with the range [start, stop) of their source's stream and the source's plan.
 
     Prefix sums are taken in hashed buckets of a source and shifted by the buckets before,
-    so that no task holds a whole source.
+    so that no task holds a whole source.  The totals of the sources are planned on the
+    driver; more than ``most_sources`` are refused rather than left out.
     """
     rows = rows.withColumn("__p", F.xxhash64(F.lit(seed), "doc_id", "size"))
     lean = rows.select(F.col("source").cast("string").alias("source"), "size", "__p")
-    sums = lean.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sums = lean.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(most_sources + 1).collect()
+    if len(sums) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     shares = plan([(r["source"], r["rows"], r["size"]) for r in sums], share, most, block=block)
     rng = np.random.default_rng(seed)
     keys = rng.integers(0, 1 << 62, (len(shares), ROUNDS)).tolist()
@@ -199,7 +198,7 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, block:
 
     The row that the target's end falls in is taken if more than half of it lies before, so a
     source misses its target by half of one row at most; a source of which no row were left
-    keeps its first.  Texts without words give nothing; repeated rows are taken each on its
+    keeps its first.  Texts without words come with whole rounds alone; repeated rows are taken each on its
     own; columns of any name pass through; an empty table gives no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
