@@ -86,10 +86,15 @@ def recognise(images: DataFrame, backend: OcrBackend | str, enhance: Callable[[n
     return images.select("request_id", "pixels").mapInPandas(run, "request_id long, box_id int, text string, x_min double, y_min double, x_max double, y_max double, scale double")
 
 
+def found_boxes(boxes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Split boxes that hold sensitive text, in no order."""
+    texts = settle(prepare(boxes))
+    return texts.join(detect(texts, build_terms(tags)), ["request_id", "box_id"], "left_semi")
+
+
 def sensitive_boxes(boxes: DataFrame, tags: DataFrame) -> DataFrame:
     """Split boxes that hold sensitive text, in reading order."""
-    texts = settle(prepare(boxes))
-    return texts.join(detect(texts, build_terms(tags)), ["request_id", "box_id"], "left_semi").orderBy("request_id", "box_id")
+    return found_boxes(boxes, tags).orderBy("request_id", "box_id")
 
 
 def in_order(tags: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def deidentify(requests: DataFrame, backend: OcrBackend | str, codec=None, enhan
     """(request_id, status, error, masks, message, sop_instance_uid) of request rows."""
     images, bad, idle = _images(requests, codec)
     tags = tag_rows(images)
-    hits = sensitive_boxes(settle(recognise(images, backend, enhance)), tags)
+    hits = found_boxes(settle(recognise(images, backend, enhance)), tags)
     x = [F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]
     grown = hits.select("request_id", F.col("box_id").alias("ord"), *[c.alias(n) for c, n in zip(grow(*x), ("x1", "y1", "x2", "y2"))])
     painted = grown.join(images.select("request_id", "pixels"), "request_id").withColumn("color", box_color("pixels", "x1", "y1", "x2", "y2")).filter("color IS NOT NULL")

@@ -234,6 +234,52 @@ def report_sensitive(spark, d):
     return api.report_tags(*_requests(spark, d))
 
 
+class Reader:
+    """Stands for text recognition: a text that tells the image's shade, one that tells nothing, one outside the image."""
+
+    def detect(self, image):
+        return [f"patient {image[0, 0, 0]}", "nothing", "outside"], [[1, 1, 20, 8], [1, 1, 5, 5], [100, 100, 120, 110]]
+
+
+_SHADE = "CAST(trunc((least(greatest(k % 256, 32), 160) - 32) / 128.0::DOUBLE * 255) AS INT)"
+_PLAN = f"(SELECT s_suppkey AS k, {_SHADE.replace('k %', 's_suppkey %')} AS shade, s_suppkey % 7 = 0 AS bad, CAST(s_suppkey % 4 AS INT) AS kind FROM supplier)"
+
+
+def _plan_requests(spark, d):
+    """A request per supplier of an even image: with a tag that is on it, none, one that is not, and one read outside it."""
+    key = F.col("s_suppkey")
+    level = (key % 256).cast("int")
+    shade = ((F.least(F.greatest(level, F.lit(32)), F.lit(160)) - 32) / F.lit(128.0) * 255).cast("int").cast("string")
+    values = F.array(F.concat(F.lit('{"PatientID":"patient '), shade, F.lit('","PatientSex":"O"}')), F.lit("{}"), F.lit('{"PatientID":"zzzzqqqq"}'), F.concat(F.lit('{"InstitutionName":"outside","PatientID":"patient '), shade, F.lit('"}')))
+    pixels = F.unhex(F.repeat(F.lpad(F.hex(level), 2, "0"), 400))
+    columns = {
+        "request_id": key, "image": F.when(key % 7 == 0, F.substring(pixels, 1, 399)).otherwise(pixels), "content_type": F.lit("image/raw"), "filename": F.lit(None).cast("string"),
+        "sensitive_data_list": F.element_at(values, (key % 4 + 1).cast("int")), "sop_instance_uid": F.concat(F.lit("1."), key.cast("string")), "rows": F.lit(10), "columns": F.lit(40), "bits_allocated": F.lit(8), "samples_per_pixel": F.lit(1),
+        **{c: F.lit(None).cast("double") for c in ("rescale_slope", "rescale_intercept")}, "window_center": F.lit(96.0), "window_width": F.lit(128.0), "is_monochrome1": F.lit(False),
+        **{c: F.lit(None).cast("string") for c in ("palette_color_lut", "transfer_syntax_uid", "photometric_interpretation")},
+    }
+    return t(spark, d, "supplier").select(*[c.alias(n) for n, c in columns.items()])
+
+
+_STATUS = "CASE WHEN kind <> 1 AND bad THEN 400 ELSE 200 END AS status, CASE WHEN kind <> 1 AND bad THEN 'Failed to decode image' END AS error, CASE WHEN kind = 1 OR NOT bad THEN '1.' || k END AS sop_instance_uid"
+
+
+@query(f"""SELECT k AS request_id, {_STATUS}, CASE WHEN kind = 1 THEN 'No sensitive data list provided' WHEN bad THEN NULL WHEN kind IN (0, 3) THEN '1 sensitive data detected' ELSE 'No sensitive data detected' END AS message,
+CASE WHEN kind IN (0, 3) AND NOT bad THEN '[{{"stationName":"*","color":"' || printf('%02x%02x%02x', shade, shade, shade) || '","rectangles":["0 0 22 10"]}}]' END AS masks FROM {_PLAN}""")
+def deidentify_requests(spark, d):
+    """From request rows to masks; a box outside the image is not counted."""
+    rows = api.deidentify(_plan_requests(spark, d), Reader())
+    return rows.select("request_id", "status", "error", "sop_instance_uid", "message", F.to_json("masks").alias("masks"))
+
+
+@query(f"""SELECT k AS request_id, {_STATUS}, CASE WHEN kind = 1 THEN 'No sensitive data list provided' WHEN bad THEN NULL WHEN kind = 0 THEN '1 sensitive tags detected' WHEN kind = 3 THEN '2 sensitive tags detected' ELSE 'No sensitive data detected' END AS message,
+CASE WHEN kind <> 1 AND NOT bad THEN CASE kind WHEN 0 THEN 'PatientID' WHEN 3 THEN 'InstitutionName PatientID' ELSE '' END END AS tags FROM {_PLAN}""")
+def report_requests(spark, d):
+    """From request rows to the tags found."""
+    rows = api.report(_plan_requests(spark, d), Reader())
+    return rows.select("request_id", "status", "error", "sop_instance_uid", "message", F.array_join("detected_tags", " ").alias("tags"))
+
+
 # -- tokenizer, requests, images ---------------------------------------------------------------
 
 #: A text of each shape, in Spark's words and in DuckDB's, and its tokens; {d} and {m} are two digits, {y} four, {n} the key.

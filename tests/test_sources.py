@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import enhance
+from inkveil.functions.image import decode
+from inkveil.functions.text import register
 from inkveil.plans import api, backends
 from inkveil.sources import dicom, golden, requests
+from inkveil.streaming import stream
 
 
 def element(tag, kind, value, explicit=True):
@@ -142,3 +145,38 @@ def test_versions(spark):
     rows = spark.createDataFrame([(None,), ("a/b",), ("a/b;version=1",), ("version = 12",)], "accept string")
     assert [r[0] for r in rows.select(requests.api_version(F.col("accept"))).collect()] == [1, 1, 1, 12]
     assert backends.known() is not None
+
+
+def test_palettes_and_codecs(spark):
+    base = {"request_id": 1, "image": bytearray([0, 1, 1, 9]), "rows": 2, "columns": 2, "bits_allocated": 8, "samples_per_pixel": 1}
+    good, wide = '{"red":[10,20],"green":[30,40],"blue":[50,60]}', '{"red":[0,65535],"green":[0,257],"blue":[0,0]}'
+    cases = [{"palette_color_lut": good}, {"palette_color_lut": wide}, {"palette_color_lut": "{bad"}, {"palette_color_lut": '{"red":[1]}'}, {"transfer_syntax_uid": "1.2.840.10008.1.2.4.50"}, {"image": None}, {"bits_allocated": 12}]
+    rows = spark.createDataFrame([{**base, "request_id": k, **c} for k, c in enumerate(cases)], requests.SCHEMA)
+    got = {r.request_id: r for r in decode(rows).collect()}
+    pixels = lambda r: list(r.pixels.data)
+    assert pixels(got[0])[:6] == [50, 30, 10, 60, 40, 20] and pixels(got[0])[9:] == [60, 40, 20]
+    assert pixels(got[1])[:6] == [0, 0, 0, 0, 1, 255]
+    assert got[2].pixels is None and got[2].decode_error and got[4].decode_error == "codec unavailable"
+    # Without all three channels the palette is not used.
+    assert pixels(got[3])[:6] == [0, 0, 0, 28, 28, 28] and {got[k].decode_error for k in (5, 6)} == {"Failed to decode image"}
+
+    class Codec:
+        def decode(self, data, request):
+            return np.full((request["rows"], request["columns"], 3), len(data), np.uint8)
+
+    assert pixels({r.request_id: r for r in decode(rows, Codec()).collect()}[4]) == [4] * 12
+
+
+def test_stream_of_requests(spark, tmp_path):
+    rows = spark.createDataFrame([{"request_id": k, "content_type": "image/raw" if k else "text/plain", "sensitive_data_list": "{}"} for k in range(3)], requests.SCHEMA)
+    rows.write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # a second run finds nothing new
+        stream.process(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", requests.check).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.request_id, r.status) for r in got.collect()) == [(0, 400), (1, 200), (2, 200)]
+
+
+def test_sql_functions(spark):
+    register(spark)
+    got = spark.sql("SELECT fuzz_ratio('jhon doe', 'john doe') a, fuzz_partial_ratio('doe', 'john doe') b, normalize_text('Été  X') c, fuzz_ratio(null, 'x') d").first()
+    assert tuple(got) == (87.5, 100.0, "ete x", None)
