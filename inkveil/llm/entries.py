@@ -12,6 +12,8 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .ngram_lm import SQL as BACKOFF_SQL
 from .ngram_lm import score
+from .oracles import ORACLE_SQL as SHOWN_SQL
+from .oracles import QUERIES as SHOWN
 from .pii import find_pii
 from .toxicity import detect_toxicity
 
@@ -62,7 +64,7 @@ def op10_pii(spark, sf_dir):
 
 
 _ALL = (op1_decontaminate, op2_minhash_near_dedup, op3_mix_sources, op4_avi_mjpeg, op5_stupid_backoff, op6_html_text, op7_toxicity, op8_kd_shards, op9_langid, op10_pii)
-QUERIES = {f.__name__: f for f in (*_ALL, avi_clips)}
+QUERIES = {f.__name__: f for f in (*_ALL, avi_clips)} | SHOWN
 
-#: The others are not plain SQL over the tables.
-ORACLE_SQL: dict[str, str] = {"op5_stupid_backoff": BACKOFF_SQL}
+#: Ops 1, 6, 7 and 9 are not SQL; of ops 3, 4, 8 and 10 queries of their own show the part that is.
+ORACLE_SQL: dict[str, str] = {"op5_stupid_backoff": BACKOFF_SQL} | SHOWN_SQL
