@@ -52,3 +52,9 @@ def scale_factor(height: Column, width: Column, min_side: int = 1500) -> Column:
     """What an image is enlarged by before its text is read: up to ``min_side`` on the shorter side."""
     side = F.least(height, width)
     return F.when(side >= min_side, F.lit(1.0)).otherwise(F.lit(float(min_side)) / side)
+
+
+def box_of(values: Column) -> Column:
+    """The four numbers of an array as a box; null for an array of another size or with a null in it."""
+    good = (F.size(values) == 4) & ~F.exists(values, lambda v: v.isNull())
+    return F.when(good, F.struct(*[F.get(values, F.lit(i)).cast("double").alias(n) for i, n in enumerate(("x_min", "y_min", "x_max", "y_max"))]))

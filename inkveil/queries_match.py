@@ -10,7 +10,7 @@ from inkveil.functions.text import fuzz_partial_ratio, normalize_list
 from inkveil.operators import geometry, match
 from inkveil.plans import api
 from inkveil.queries import _LCS, _MON, _NORM, _OH, _PIX, _FORMS, _noisy, _pixels, query, t
-from inkveil.sources import requests
+from inkveil.sources import golden, requests
 
 # -- pieces of SQL -------------------------------------------------------------------------
 
@@ -390,3 +390,20 @@ def zip_shortest(spark, d):
 def normalize_lists(spark, d):
     """F2."""
     return t(spark, d, "part").select("p_partkey", normalize_list(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("norms"))
+
+
+@query("SELECT s_suppkey, x, y FROM (SELECT s_suppkey, s_suppkey::DOUBLE AS x, CAST(s_suppkey % 7 AS DOUBLE) AS y FROM supplier WHERE s_suppkey % 3 = 0)")
+def valid_boxes(spark, d):
+    """Arrays of four numbers are boxes, others are left out."""
+    key = F.col("s_suppkey").cast("double")
+    values = F.array(key, (F.col("s_suppkey") % 7).cast("double"), key + 4, F.when(F.col("s_suppkey") % 3 != 2, F.lit(9.0)))
+    values = F.when(F.col("s_suppkey") % 3 == 1, F.slice(values, F.lit(1), F.lit(3))).otherwise(values)
+    rows = t(spark, d, "supplier").select("s_suppkey", geometry.box_of(values).alias("b")).filter("b IS NOT NULL")
+    return rows.select("s_suppkey", F.col("b.x_min").alias("x"), F.col("b.y_min").alias("y"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey % 86400), '%Y%m%d_%H%M%S') AS name FROM orders")
+def folder_names(spark, d):
+    """F19."""
+    moment = F.timestamp_add("SECOND", (F.col("o_orderkey") % 86400).cast("int"), F.to_date("o_orderdate").cast("timestamp"))
+    return t(spark, d, "orders").select("o_orderkey", golden.folder_name(moment).alias("name"))

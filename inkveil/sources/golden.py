@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.image import paint
@@ -58,6 +58,11 @@ def masked_images(images: DataFrame, masks: DataFrame) -> DataFrame:
     return both.select("request_id", fill("pixels", "masks").alias("png"))
 
 
+def folder_name(moment: Column) -> Column:
+    """Name of the folder of a run, by its start."""
+    return F.date_format(moment, "yyyyMMdd_HHmmss")
+
+
 def write_stages(folder: str, **stages: DataFrame) -> None:
     """Writes tables of intermediate stages, each under its name, for a look at a run."""
     for name, table in stages.items():
