@@ -127,9 +127,10 @@ def near_names(words: DataFrame, names: DataFrame) -> DataFrame:
     return a.join(b, ["n", "i", "s"]).select("word", "name").distinct().filter(few_edits(F.col("word"), F.col("name")))
 
 
-def by_length(words: DataFrame, terms: DataFrame, band, longest: int) -> DataFrame:
-    """Pairs (norm, term) whose lengths are in a band, joined by the length of the term."""
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: band(F.length("norm"), n))
+def by_length(words: DataFrame, terms: DataFrame, band, reach: float) -> DataFrame:
+    """Pairs (norm, term) whose lengths are in a band, joined by the length of the term, which the band
+    bounds by ``reach`` times the length of the text."""
+    sizes = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("norm") * reach).cast("int"))), lambda n: band(F.length("norm"), n))
     return words.withColumn("__n", F.explode(sizes)).join(terms.withColumn("__n", F.length("term")), "__n").drop("__n")
 
 

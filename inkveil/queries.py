@@ -144,7 +144,7 @@ _LCS = """list_last(list_reduce(list_prepend(list_transform(range(len({1})+1), l
 def token_ratio_scores(spark, d):
     """Scores of the pairs in the length band."""
     a, b = _noisy(spark, d)
-    pairs = match.by_length(a.withColumnRenamed("noisy", "norm"), b.withColumnRenamed("w", "term"), lambda m, n: (11 * m > 9 * n) & (11 * n > 9 * m), 64)
+    pairs = match.by_length(a.withColumnRenamed("noisy", "norm"), b.withColumnRenamed("w", "term"), lambda m, n: (11 * m > 9 * n) & (11 * n > 9 * m), 11 / 9)
     return pairs.select(F.col("norm").alias("noisy"), F.col("term").alias("w"), fuzz_ratio("norm", "term").alias("score"))
 
 

@@ -108,7 +108,7 @@ def partial_ratio_scores(spark, d):
     """noisy words against the names of the first parts in the length band."""
     a, _ = _noisy(spark, d)
     names = t(spark, d, "part").filter("p_partkey <= 60").select(F.col("p_name").alias("term")).distinct()
-    pairs = match.by_length(a.withColumnRenamed("noisy", "norm").filter("length(norm) >= 3"), names, lambda m, n: (m >= F.lit(0.45) * n) & (n >= F.lit(0.45) * m), 128)
+    pairs = match.by_length(a.withColumnRenamed("noisy", "norm").filter("length(norm) >= 3"), names, lambda m, n: (m >= F.lit(0.45) * n) & (n >= F.lit(0.45) * m), 1 / 0.45)
     return pairs.select(F.col("norm").alias("noisy"), "term", fuzz_partial_ratio("norm", "term").alias("score"))
 
 
