@@ -1,5 +1,6 @@
 """Awkward tables for every operator, and results on whole tables against brute force or held-out labels."""
 
+import html
 import re
 from collections import Counter
 
@@ -72,6 +73,16 @@ def test_exact_passages_of_a_whole_table(spark):
     assert held and {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == held
 
 
+def test_articles_of_a_whole_table(spark):
+    """The marked article of every page, taken by its marks; and the same by density where the marks are missing."""
+    for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        plain = re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", re.sub(r"<!--.*?-->", "", inner, flags=re.S)))
+        want = " ".join(html.unescape(plain).split())
+        assert html_text.main_text(r.html) == want
+        assert html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     rows = langid.identify(docs).filter("held_out").join(docs.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
