@@ -64,8 +64,9 @@ def bounded_sample(rows: DataFrame, keys: list[str], most_rows: int, most_bytes:
     """Rows (keys, text) on the driver, distinct by ``keys``, in the order of a hash of the keys.
 
     At most ``most_rows`` of them and ``most_bytes`` of text; where a key has several texts, one of them.
+    A text of more than a 64th of the bytes is not sampled, so that it can't take the place of all others.
     """
-    rows = rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("__h", F.xxhash64(F.lit(5), *keys))
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 64).groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("__h", F.xxhash64(F.lit(5), *keys))
     rows = cut(rows)
     sizes = rows.select("__h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("__h").limit(most_rows).collect()
     fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_bytes, "right"))

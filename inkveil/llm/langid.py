@@ -103,7 +103,8 @@ def identify(docs: DataFrame, per_lang: int = 250, landmarks: int = 256, most: i
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang).
 
     Learns from about ``per_lang`` texts of each language among the rows whose
-    crc32(doc_id) mod 4 is not 2, a sample of at most ``most`` texts and ``most_bytes``.  A
+    crc32(doc_id) mod 4 is not 2, a sample of at most ``most`` texts and ``most_bytes``, of texts
+    up to a 64th of that.  A
     null text or one without a letter is ``und`` with score 0, as is every text where nothing
     can be learnt; a tie goes to the first language by code point; a null doc_id is not held
     out and not learnt from; null languages are not learnt; very long texts are scored whole;

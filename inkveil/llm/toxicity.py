@@ -279,7 +279,8 @@ def detect_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> D
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text).
 
     ``labels`` (doc_id, toxic) are learnt from only where crc32(doc_id) mod 3 is not 1, and
-    at most about ``sample`` of them and 64 MB of text; an id that repeats is one of them.
+    at most about ``sample`` of them and 64 MB of text, of texts up to 1 MB; an id that repeats
+    is one of them.
     Null texts count as empty and are scored; a null
     doc_id is not held out and not learnt from; null labels are not learnt from; without a
     toxic label nothing is predicted toxic; very long texts are scored whole; repeated rows

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.llm import avi, decontaminate, entries, html_text, langid, mixing, pii, toxicity
+from inkveil.llm import avi, common, decontaminate, entries, html_text, langid, mixing, pii, toxicity
 
 DATA = "/root/testdata"
 
@@ -51,6 +51,16 @@ def test_ties(spark):
     assert len({(r.score, r.predicted) for r in toxicity.detect_toxicity(many, labels).collect()}) == 1
 
 
+def test_samples_are_bounded(spark):
+    rows = [(k, "x" * 1000) for k in range(50)] + [(50, "y" * 5000), (51, None), (3, "x" * 1000), (3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = common.bounded_sample(df, ["doc_id"], 100, 64 * 1000)
+    assert len(got) == 51 and got["doc_id"].is_unique and 50 not in set(got["doc_id"])
+    assert len(common.bounded_sample(df, ["doc_id"], 7, 64 * 1000)) == 7
+    few = common.bounded_sample(df, ["doc_id"], 100, 64 * 200)
+    assert set(few["text"].fillna("")) <= {"", "z"} and common.bounded_sample(df.limit(0), ["doc_id"], 9, 99).empty
+
+
 def test_very_long_texts(spark):
     word = "lorem ipsum dolor sit amet "
     long = word * 200_000 + "a.b@mail.example.com"
