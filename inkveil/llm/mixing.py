@@ -5,8 +5,8 @@ A source gives whole rounds of its stream and then a number of blocks, drawn by
 permutation of the block numbers (swap-or-not).  The tree deals the blocks of all sources to the output
 shards: each node draws how many of each source go left, without replacement, so that every
 shard is a random sample and all quotas are met exactly.  Shards take disjoint ranges of the
-permuted blocks and order them by a hash of their own.  What a row gives is the sum of its
-pieces of blocks in the shards.
+permuted blocks and order them by a hash of their own.  Only blocks within a shard's quota
+are taken, so what a row gives is the sum of its pieces of blocks in the shards.
 """
 
 from __future__ import annotations
@@ -155,8 +155,10 @@ def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, s
 def _pieces(block: int) -> Column:
     """array<b, turn, from, to, shard> of a row: what each of its blocks gives in each round, and the shard that the tree deals it to."""
     blocks = f"transform(sequence(start div {block}, (stop - 1) div {block}), b -> named_struct('b', b, 'at', {permuted('b')}))"
-    limit = f"CASE WHEN turn < rounds OR x.at < drawn THEN {block} WHEN x.at = drawn THEN rest ELSE 0 END"
-    shard = "cast(least(size(filter(ends, e -> e <= turn * blocks + x.at)), size(ends) - 1) as int)"
+    # A block's number among all that a source gives; the shards' quotas say which are taken, and by whom.
+    number, total = "(turn * blocks + x.at)", "element_at(ends, -1)"
+    limit = f"CASE WHEN {number} < {total} - if(rest > 0, 1, 0) THEN {block} WHEN {number} < {total} THEN rest ELSE 0 END"
+    shard = f"cast(size(filter(ends, e -> e <= {number})) as int)"
     one = f"named_struct('b', x.b, 'turn', turn, 'from', greatest(start, x.b * {block}), 'to', least(stop, x.b * {block} + {limit}), 'shard', {shard})"
     every = f"flatten(transform({blocks}, x -> transform(sequence(0L, rounds), turn -> {one})))"
     return F.expr(f"CASE WHEN size > 0 THEN filter({every}, p -> p.to > p.from) END")

@@ -108,11 +108,19 @@ def test_held_out_toxicity(spark):
 
 def test_tree_decides_what_is_taken(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
-    whole = mixing.mix(docs).agg(F.sum("taken")).first()[0]
-    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed=17: __import__("numpy").zeros((shards, len(quotas)), int))
-    # With no quotas all blocks fall to the last shard: the words by shard are others.
-    got = mixing.mix(docs).collect()
-    assert all(sum(r.shard_words[:-1]) == 0 for r in got) and sum(r.taken for r in got) == whole
+    rows, dealt, split = mixing.mix(docs).collect(), [], mixing.split_quotas
+    # What a shard holds is its quota of blocks of 128 words, but for a source's last words and last block.
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: dealt.append(split(*a)) or dealt[-1])
+    assert mixing.mix(docs).collect() == rows
+    for s, quota in enumerate(dealt[0].sum(1)):
+        held = sum(r.shard_words[s] for r in rows)
+        assert quota * 128 - 2 * 128 * dealt[0].shape[1] <= held <= quota * 128
+    # A smaller quota takes less, and no quota nothing.
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a) // 2)
+    taken, half = sum(r.taken for r in mixing.mix(docs).collect()), dealt[0] // 2
+    assert half.sum() * 128 - 2 * 128 * half.shape[1] <= taken <= half.sum() * 128
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a) * 0)
+    assert all(r.taken == 0 for r in mixing.mix(docs).collect())
 
 
 def test_clips_query(spark):
