@@ -71,7 +71,7 @@ _TEXT = " UNION ".join(
 
 @query(f"SELECT dt, unnest([{_NUMERIC}]) AS variant FROM {_DATES} UNION {_TEXT}")
 def expand_dates(spark, d):
-    """All spellings of the distinct order dates."""
+    """All spellings of the distinct order dates."""
     days = t(spark, d, "orders").select(F.to_date("o_orderdate").alias("dt")).distinct()
     value = F.date_format("dt", "yyyyMMdd")
     return days.select("dt", F.explode(expand.date_variants(expand.dicom_date(value))).alias("variant"))
@@ -84,7 +84,7 @@ _AGEM = "((((year(s) - year(b)) * 12 + month(s) - month(b) - CASE WHEN day(s) <
 @query(f"""WITH a AS (SELECT *, CAST(substr(age, 1, 3) AS INT) AS n, lower(substr(age, 4, 1)) AS u, {_AGEM} AS m FROM {_AGE})
 SELECT DISTINCT o_orderkey, v AS variant FROM (SELECT o_orderkey, unnest(CASE WHEN u = 'y' THEN [n || u, substr(age, 1, 3) || u, n || 'ans', n || 'y' || m || 'm', n || 'a' || m || 'm'] ELSE [n || u, substr(age, 1, 3) || u] END) AS v FROM a)""")
 def expand_ages(spark, d):
-    """F17, F18."""
+    """F17, F18, U3."""
     o = t(spark, d, "orders")
     unit = F.element_at(F.array(*map(F.lit, "YMDW")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     age = F.concat(F.lpad((F.col("o_orderkey") % 130).cast("string"), 3, "0"), unit)
@@ -98,7 +98,7 @@ _PNAME = "split_part(p_name, ' ', 1) || '^' || coalesce(nullif(split_part(p_name
 @query(f"""WITH n AS (SELECT p_partkey, {_OH.format(_NORM.format("split_part(p_name, ' ', 1)"))} AS l, [{_OH.format(_NORM.format("coalesce(nullif(split_part(p_name, ' ', 2), ''), 'x')"))}, {_OH.format(_NORM.format('p_brand'))}] AS f FROM part), x AS (SELECT p_partkey, l, unnest(f) AS f FROM n)
 SELECT p_partkey, f AS variant FROM x UNION SELECT p_partkey, l FROM x WHERE l <> '' UNION SELECT p_partkey, f || ' ' || l FROM x WHERE l <> '' UNION SELECT p_partkey, l || ' ' || f FROM x WHERE l <> ''""")
 def expand_names(spark, d):
-    """F20 on Last^First,First."""
+    """On Last^First,First."""
     word = lambda i: F.get(F.split("p_name", " "), F.lit(i))
     name = F.concat(word(0), F.lit("^"), F.coalesce(F.nullif(word(1), F.lit("")), F.lit("x")), F.lit(","), F.col("p_brand"))
     return t(spark, d, "part").select("p_partkey", F.explode(expand.name_variants(name, normalize_ascii)).alias("variant"))
@@ -106,7 +106,7 @@ def expand_names(spark, d):
 
 @query("""SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['female','femme','fille','feminin'] WHEN 1 THEN ['male','homme','garcon','masculin'] WHEN 2 THEN ['other','autre','non-binary','nonbinary','non binaire'] ELSE ['x'] END) AS variant FROM events""")
 def expand_sex(spark, d):
-    """F21, J12."""
+    """F21, J12, U3."""
     code = F.element_at(F.array(*map(F.lit, "FMOX")), (F.col("event_id") % 4 + 1).cast("int"))
     return t(spark, d, "events").select("event_id", F.explode(expand.sex_variants(code)).alias("variant"))
 
@@ -184,7 +184,7 @@ def _boxes(spark, d):
 
 @query(f"WITH bx AS ({_BOX}) {_NEXT}")
 def next_box_on_line(spark, d):
-    """J5, W3, F32."""
+    """J5, W3, F32, O5."""
     return match.next_boxes(_boxes(spark, d))
 
 
@@ -284,7 +284,7 @@ def background_colors(spark, d):
 
 @query("WITH b AS (SELECT l_orderkey AS request_id, l_linenumber AS ord, lower(printf('%02x%02x%02x', l_partkey % 2 * 255, 128, 0)) AS color, l_linenumber || ' 0 4 4' AS rectangle FROM " + _LINES + ") SELECT request_id, color, list(rectangle ORDER BY ord) AS rectangles, min(ord) AS first_ord FROM b GROUP BY 1, 2")
 def mask_groups(spark, d):
-    """A1, A4, P14."""
+    """A1, A4, P14, F14."""
     li = lines(spark, d)
     rows = li.select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("ord"), geometry.hex_color(F.col("l_partkey") % 2 * 255, F.lit(128), F.lit(0)).alias("color"), geometry.rectangle(F.col("l_linenumber"), F.lit(0), F.col("l_linenumber") + 4, F.lit(4)).alias("rectangle"))
     return color.group_by_color(rows)
@@ -293,7 +293,7 @@ def mask_groups(spark, d):
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, greatest(0.0::DOUBLE, l_quantity / 3.0::DOUBLE - 2) AS x1, greatest(0.0::DOUBLE, CAST(l_linenumber AS DOUBLE) / 3.0::DOUBLE - 2) AS y1, (l_quantity + 50) / 3.0::DOUBLE + 2 AS x2, (l_linenumber + 20) / 3.0::DOUBLE + 2 AS y2 FROM lineitem)
 SELECT l_orderkey, l_linenumber, CAST(trunc(x1) AS INT) || ' ' || CAST(trunc(y1) AS INT) || ' ' || CAST(trunc(x2 - x1) AS INT) || ' ' || CAST(trunc(y2 - y1) AS INT) AS rectangle FROM b""")
 def format_rects(spark, d):
-    """P11, P12, P13."""
+    """P11, P12, P13, F14."""
     q, n = F.col("l_quantity"), F.col("l_linenumber").cast("double")
     box = geometry.grow(*geometry.rescale([q, n, q + 50, n + 20], F.lit(3.0)))
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", geometry.rectangle(*box).alias("rectangle"))

@@ -407,3 +407,17 @@ def folder_names(spark, d):
     """F19."""
     moment = F.timestamp_add("SECOND", (F.col("o_orderkey") % 86400).cast("int"), F.to_date("o_orderdate").cast("timestamp"))
     return t(spark, d, "orders").select("o_orderkey", golden.folder_name(moment).alias("name"))
+
+
+@query("""SELECT s_suppkey AS request_id, CASE kind WHEN 0 THEN printf('%02X%02X%02X', 50 + i, 30 + i, 10 + i) WHEN 1 THEN printf('%02X%02X%02X', 255, 1, CAST(trunc((10 + i) * 257 / 65535.0::DOUBLE * 255) AS INT)) WHEN 3 THEN '000000' END AS pixels,
+CASE kind WHEN 2 THEN true WHEN 4 THEN true ELSE false END AS failed, kind = 4 AS needs_codec FROM (SELECT s_suppkey, CAST(s_suppkey % 5 AS INT) AS kind, CAST(least(s_suppkey % 4, 2) AS INT) AS i FROM supplier)""")
+def decode_palettes(spark, d):
+    """Palettes of 8 and 16 bits, broken, and of one channel; a frame that needs a codec."""
+    key, kind = F.col("s_suppkey"), (F.col("s_suppkey") % 5).cast("int")
+    palettes = F.array(*map(F.lit, ('{"red":[10,11,12],"green":[30,31,32],"blue":[50,51,52]}', '{"red":[2570,2827,3084],"green":[257,257,257],"blue":[65535,65535,65535]}', "{broken", '{"red":[1]}', "")))
+    rows = t(spark, d, "supplier").select(
+        key.alias("request_id"), F.unhex(F.lpad(F.hex(key % 4), 2, "0")).alias("image"), F.lit(1).alias("rows"), F.lit(1).alias("columns"), F.lit(8).alias("bits_allocated"), F.lit(1).alias("samples_per_pixel"),
+        F.nullif(F.get(palettes, kind), F.lit("")).alias("palette_color_lut"), F.when(kind == 4, "1.2.840.10008.1.2.4.50").alias("transfer_syntax_uid"),
+    )
+    out = decode(rows)
+    return out.select("request_id", F.hex("pixels.data").alias("pixels"), F.col("pixels").isNull().alias("failed"), F.coalesce(F.col("decode_error") == "codec unavailable", F.lit(False)).alias("needs_codec"))

@@ -92,3 +92,11 @@ def test_boxes_of_an_enlarged_image(spark):
     got = api.prepare(boxes).orderBy("box_id").collect()
     whole = api.prepare(boxes.drop("scale")).orderBy("box_id").collect()
     assert len(got) == 2 and all((a.x_min, a.x_max, a.y_max) == (b.x_min / 3, b.x_max / 3, b.y_max / 3) for a, b in zip(got, whole))
+
+
+def test_scripts(spark):
+    names = {"ja": ("山田^太郎", "山田 太郎"), "ru": ("Петров^Иван", "ПЕТРОВ ИВАН"), "he": ("כהן^דוד", "דוד כהן"), "ar": ("الحسن^عمر", "عمر الحسن"), "ko": ("김^민준", "김 민준"), "zh": ("王^小明", "王 小明"), "fr": ("Lefèvre^Zoé", "LEFEVRE ZOE")}
+    rows = [(k, 0, shown, 0.0, 0.0, 200.0, 20.0) for k, (_, shown) in enumerate(names.values())] + [(k, 1, "xyz qrs", 0.0, 100.0, 200.0, 120.0) for k in range(len(names))]
+    boxes = spark.createDataFrame(rows, "request_id long, box_id int, text string, x_min double, y_min double, x_max double, y_max double")
+    tags = spark.createDataFrame([(k, 0, "PatientName", value) for k, (value, _) in enumerate(names.values())], "request_id long, tag_pos int, tag string, value string")
+    assert [(r.request_id, r.text) for r in api.sensitive_boxes(boxes, tags).collect()] == [(k, shown) for k, (_, shown) in enumerate(names.values())]
