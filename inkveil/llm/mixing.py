@@ -11,7 +11,6 @@ are taken, so what a row gives is the sum of its pieces of blocks in the shards.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
