@@ -9,8 +9,8 @@ root.  At similarity s a pair shares no table with a probability below
 Work runs on one representative per distinct shingle set.  In the first round each bucket
 links its members to its smallest one, which is linear in the rows; links are confirmed on
 full sets and joined into components.  The second round takes the buckets that still hold several
-components and confirms every pair across them; a pair within one component changes no
-component and is left out.  Pairs are confirmed only where size and odd sketch allow a
+components and confirms every pair across them, large buckets slice by slice; a pair within one component
+changes no component and is left out.  Pairs are confirmed only where size and odd sketch allow a
 link: the sketch holds the parity of the shingles that fall on each of 1024 bits, so two
 sketches differ in at most as many bits as the sets differ in shingles, and no link is lost.
 """
@@ -180,14 +180,15 @@ def _can_link(percent: int) -> Column:
     return F.expr(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND ({differ}) * {100 + percent} <= (a.n + b.n) * {100 - percent}")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int = 12, half: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int = 12, half: int = 2, slice_rows: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
 
     Null and empty texts, and texts of white space, have no shingles and are linked with
     nothing; shorter texts than ``words`` are one shingle; very long ones are whole sets.
     Other columns are ignored.  Rows that repeat a doc_id are one vertex, whatever their
     texts, and are all returned; with a null doc_id a row is its own component (null) and
-    kept.  An empty table gives no rows.
+    kept.  An empty table gives no rows.  ``slice_rows`` bounds the rows of a bucket that a
+    task compares with all of it; it changes no result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = cut(signatures(docs, words, m, half))
@@ -209,11 +210,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
         return cut(_confirm(cut(able), docs, words, percent))
 
     def mixed(label: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components."""
+        """Members of the buckets that hold several components, and the slices their comparisons are dealt in."""
         named = member.select("key", "r").join(label.select(F.col("v").alias("r"), "c"), "r", "left").withColumn("c", F.coalesce("c", "r"))
         named = cut(named)
         some = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi AND size > 2")
-        return cut(named.join(some.select("key"), "key", "left_semi"))
+        return cut(named.join(some.select("key", F.ceil(F.col("size") / slice_rows).cast("int").alias("slices")), "key"))
 
     tried = cut(member.filter("r > x").select("x", F.col("r").alias("y")).distinct())
     several = named.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("most")).filter("x < most")
@@ -223,8 +224,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, m: int =
 
     rest = mixed(label)
     rest = cut(rest.join(lean, "r"))
-    a, b = (rest.withColumnRenamed("r", n).alias(s) for n, s in (("x", "a"), ("y", "b")))
-    across = a.join(b, F.expr("a.key = b.key AND x < y AND a.c != b.c") & _can_link(percent)).select("x", "y").distinct()
+    # A large bucket is dealt in slices, each compared with the whole bucket by a task of its own.
+    a = rest.withColumnRenamed("r", "x").withColumn("slice", F.expr("cast(pmod(xxhash64(x), slices) as int)")).alias("a")
+    b = rest.withColumnRenamed("r", "y").withColumn("slice", F.expr("explode(sequence(0, slices - 1))")).alias("b")
+    across = a.join(b, F.expr("a.key = b.key AND a.slice = b.slice AND x < y AND a.c != b.c") & _can_link(percent)).select("x", "y").distinct()
     across = cut(across.join(tried, ["x", "y"], "left_anti"))
     more = cut(_confirm(across, docs, words, percent))
     if not more.isEmpty():

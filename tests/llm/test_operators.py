@@ -65,6 +65,16 @@ def test_repeated_ids_join_their_texts(spark):
     assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (5, 4, False)}
 
 
+def test_slices_change_nothing(spark):
+    rng = random.Random(6)
+    base = [str(rng.randint(0, 9999)) for _ in range(80)]
+    # Texts on either side of the threshold around one base, in large buckets.
+    rows = [(k, " ".join(base[:j] + [f"n{k}"] + base[j + rng.choice((0, 5, 24, 30)) :])) for k, j in enumerate(rng.choices(range(60), k=200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({tuple(r) for r in near_dedup.near_duplicates(df, slice_rows=n).collect()} for n in (8192, 7))
+    assert one == many and len({r[2] for r in one}) > 1
+
+
 def test_near_duplicates_of_a_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     sets = {}
