@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -14,12 +16,23 @@ _MARKS = re.compile(r"[^\w\s]|_")
 _ZERO = re.compile(r"(?<=[a-z])0(?=[a-z])")
 
 
+@lru_cache(1)
+def _combining() -> re.Pattern:
+    """All combining characters, as one class."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]+")
+
+
 def normalize(text: str | None) -> str | None:
     """Lower case, without accents and punctuation, single spaces, a zero between letters read as o."""
     if text is None:
         return None
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return _ZERO.sub("o", " ".join(_MARKS.sub("", plain).split()))
+    text = text.lower()
+    if not text.isascii():
+        text = _combining().sub("", unicodedata.normalize("NFKD", text))
+    return _ZERO.sub("o", " ".join(_MARKS.sub("", text).split()))
 
 
 @F.pandas_udf(T.StringType())
@@ -36,8 +49,8 @@ def normalize_ascii(text: Column) -> Column:
 def normalize_text(text: Column | str) -> Column:
     """The normaliser of any text: ASCII rows natively, only the others in Arrow batches."""
     text = F.col(text) if isinstance(text, str) else text
-    # The Arrow function sees null for an ASCII row, which costs it nothing.
-    plain = text.rlike(r"^\p{ASCII}*$")
+    # A text with a byte for each character is ASCII; the Arrow function sees null for it.
+    plain = F.octet_length(text) == F.length(text)
     return F.when(plain, normalize_ascii(text)).otherwise(_normalize_any(F.when(~plain, text)))
 
 

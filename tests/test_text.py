@@ -1,4 +1,6 @@
 import datetime
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -14,6 +16,14 @@ def test_normalize(text, want):
     assert normalize(text) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=20))
+def test_normalize_by_definition(text):
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    plain = " ".join("".join(c for c in plain if (c.isalnum() or c.isspace() or re.match(r"\w", c)) and c != "_").split())
+    assert normalize(text) == re.sub("(?<=[a-z])0(?=[a-z])", "o", plain)
+
+
 @pytest.mark.parametrize(
     "a, b, whole, part",
     [("jhon doe", "john doe", 87.5, 87.5), ("ficle", "fille", 80, 80), ("4urnnd", "durand", 66.6667, 72.7273), ("duponttor", "dupontmoranddurandmarie", 50, 88.8889), ("1928 03 03", "19280303", 88.8889, 80), ("03 03", "19280303", 61.5385, 88.8889), ("test", "world", 0, 0)],
