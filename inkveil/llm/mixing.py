@@ -176,7 +176,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")))
     rows = streams(rows, share, most, block, seed, shards)
     rows = rows.withColumn("__pieces", _pieces(block))
-    words = F.expr(f"transform(sequence(0, {shards - 1}), s -> aggregate(filter(coalesce(__pieces, array()), p -> p.shard = s), 0L, (n, p) -> n + p.to - p.from))")
+    # One pass over the pieces of a row, which are so built once.
+    add = "transform(n, (w, s) -> if(s = p.shard, w + p.to - p.from, w))"
+    words = F.expr(f"aggregate(coalesce(__pieces, array()), array_repeat(0L, {shards}), (n, p) -> {add})")
     rows = rows.withColumn("shard_words", words)
     return rows.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(shard_words, 0L, (n, w) -> n + w)").alias("taken"), "shard_words")
 
