@@ -154,7 +154,7 @@ def joined_counts(grams_: DataFrame) -> DataFrame:
     return grams_.groupBy("part").applyInArrow(run, "g long, part int, n long, totals binary")
 
 
-def score(docs: DataFrame, group_bytes: int = 8 << 20, part_grams: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, group_bytes: int = 12 << 20, part_grams: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, log10_score, per_word, n_triples_seen, n_pairs_seen, n_unseen of every row of ``docs``.
 
     With counts c of all other rows and N their words, P1(w) is c(w) / N, or 0.4 / N for a
