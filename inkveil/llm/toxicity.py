@@ -155,15 +155,18 @@ def train(texts, toxic: np.ndarray, tune: np.ndarray, weight=None, least: int =
     ``weight`` is the number of labelled rows that a sampled row stands for.
     """
     weight = np.ones(len(toxic)) if weight is None else weight
-    docs = [h[a:b] for h, first in words(texts) for a, b in zip(first[:-1], first[1:])]
     learn = np.flatnonzero(~tune)
     y = toxic[learn].astype(np.float32)
-    vocab, z = _start([docs[i] for i in learn], y, least, most)
+    # The driver holds the words of the sample once, first as hashes and then as rows of the embedding.
+    docs = [h[a:b] for h, first in words(texts.take(pa.array(learn))) for a, b in zip(first[:-1], first[1:])]
+    vocab, z = _start(docs, y, least, most)
     rng = np.random.default_rng(seed)
     emb = np.column_stack([np.sign(z) * np.clip(np.abs(z) - 2, 0, 6) / 3, rng.normal(0, 0.02, (len(vocab), DIM - 1))])
     m = Model(vocab, np.concatenate([np.zeros((1, DIM)), emb]), seed)
-    idx = [m.rows(docs[i]) for i in learn]
-    del docs
+    idx = []
+    for i in range(len(docs)):
+        idx.append(m.rows(docs[i]))
+        docs[i] = None
     params = [*m.taps, m.bias, m.out]
     seen, seen_emb = [np.full_like(p, 1e-4) for p in params], np.full((len(m.emb), 1), 1e-4, np.float32)
     gain = np.where(y > 0, np.sqrt(max((1 - y).sum(), 1) / max(y.sum(), 1)), 1.0)
@@ -249,8 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
     rows = bounded_sample(rows, ["doc_id", "toxic"], 2 * sample, sample_bytes).sort_values("doc_id")
     tune = np.array([hash_of(i) for i in rows["doc_id"]], dtype=int) % 9 < 3
-    toxic = rows["toxic"].to_numpy(int) == 1
-    return train(pa.array(rows["text"], pa.string()), toxic, tune, np.where(toxic, 1 / share[1], 1 / share[0]))
+    toxic, texts = rows["toxic"].to_numpy(int) == 1, pa.array(rows["text"], pa.string())
+    del rows
+    return train(texts, toxic, tune, np.where(toxic, 1 / share[1], 1 / share[0]))
 
 
 def hash_of(doc_id: int) -> int:
