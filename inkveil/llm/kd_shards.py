@@ -15,8 +15,6 @@ law allows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +65,24 @@ def _place(value, low, span):
     return (value - low) / span * float(_RANGE - 1)
 
 
-def _with(rows: DataFrame, nodes: list[tuple], more: str) -> DataFrame:
-    """``rows`` with the dimension of their node, its scale and further columns of it; at most a row a shard is broadcast."""
-    table = literal_table(rows.sparkSession, nodes, "node int, dim int, base long, span double, " + more)
-    return rows.join(F.broadcast(table), "node", "left")
+def _keyed(points: DataFrame, base: list[int], span: list[float]) -> DataFrame:
+    """``points`` with k0 to k3: a coordinate, scaled to 30 bits, above 32 bits of the tie-breaker."""
+    place = lambda d: F.floor(_place(F.col(f"c{d}"), F.lit(base[d]), F.lit(span[d]))).cast("long")
+    return points.select("*", *[(place(d) * F.lit(_TIES) + F.col("tie")).alias(f"k{d}") for d in _DIMS])
+
 
+def _walk(turns: list[dict], leaf, node: int = 0, level: int = 0) -> Column:
+    """The tree found so far as one expression of a row: ``leaf`` of the node that its keys lead to.
 
-def _key() -> Column:
-    """The coordinate of the node's dimension, scaled to 30 bits, above 32 bits of the tie-breaker."""
-    coordinate = F.element_at(F.array(*[f"c{d}" for d in _DIMS]), F.col("dim") + 1)
-    return F.floor(_place(coordinate, F.col("base"), F.col("span"))).cast("long") * F.lit(_TIES) + F.col("tie")
+    ``turns`` has for each level the splits by node: dimension, least key of the right side, node of the right side.
+    """
+    if level == len(turns):
+        return leaf(node)
+    on = _walk(turns, leaf, node, level + 1)
+    if node not in turns[level]:
+        return on
+    dim, at, right = turns[level][node]
+    return F.when(F.col(f"k{dim}") >= F.lit(at), _walk(turns, leaf, right, level + 1)).otherwise(on)
 
 
 def _side(atoms: list[tuple[int, int]], below, goal: float, total: float) -> tuple[set[int], float]:
@@ -109,12 +115,12 @@ def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance:
     whole = points.agg(*[f(f"c{d}").alias(f"{n}{d}") for d in _DIMS for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
     base = [whole[f"lo{d}"] or 0 for d in _DIMS]
     span = [float(max((whole[f"hi{d}"] or 0) - base[d], 1)) for d in _DIMS]
-    light = points.filter("atom IS NULL")
-    rows, turns = light.withColumn("node", F.lit(0)), []
+    points = _keyed(points, base, span)
+    light, turns = points.filter("atom IS NULL"), []
     width, home = {0: shards}, dict.fromkeys(atoms, 0)  # width: first shard of a node: number of its shards
     while any(n > 1 for n in width.values()):
         ends = [f(f"c{d}").alias(f"{n}{d}") for d in _DIMS for f, n in ((F.min, "lo"), (F.max, "hi"))]
-        part = {r["node"]: r.asDict() for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *ends).collect()}
+        part = {r["node"]: r.asDict() for r in light.withColumn("node", _walk(turns, F.lit)).groupBy("node").agg(F.sum("size").alias("w"), *ends).collect()}
         state = {}
         for n, k in width.items():
             own = [a for a in atoms if home[a] == n]
@@ -128,11 +134,13 @@ def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance:
         first = True
         while todo := {n: s for n, s in state.items() if s["at"] is None}:
             step = {n: -(-(s["hi"] - s["lo"]) // bins) for n, s in todo.items()}
-            asked = [(n, s["dim"], base[s["dim"]], span[s["dim"]], s["lo"], s["hi"], step[n]) for n, s in todo.items()]
-            inside = _with(rows, asked, "low long, high long, by long").withColumn("k", _key()).filter("k >= low AND k < high")
-            sums = inside.groupBy("node", F.expr("cast((k - low) div by AS int)").alias("bin")).agg(F.sum("size").alias("w")).collect()
+            span_of = {n: (f"k{s['dim']}", s["lo"], s["hi"]) for n, s in todo.items()}
+            bins_of = {n: f"CASE WHEN {k} >= {lo}L AND {k} < {hi}L THEN ({k} - {lo}L) div {step[n]}L + {n * bins}L END" for n, (k, lo, hi) in span_of.items()}
+            cell = _walk(turns, lambda n: F.expr(bins_of.get(n, "cast(NULL AS long)")))  # noqa: B023
+            sums = light.withColumn("cell", cell).groupBy("cell").agg(F.sum("size").alias("w")).collect()
+            sums = [(*divmod(r["cell"], bins), r["w"]) for r in sums if r["cell"] is not None]
             for n, s in todo.items():
-                bars = sorted((r["bin"], r["w"]) for r in sums if r["node"] == n)
+                bars = sorted((b, w) for m, b, w in sums if m == n)
                 if first:
                     d = s["dim"]
                     places = [(int(_place(atoms[a][f"c{d}"], base[d], span[d])) * _TIES + atoms[a]["t"] % _TIES, atoms[a]["w"]) for a in s["own"]]
@@ -155,20 +163,12 @@ def tree_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, tolerance:
                 else:
                     s["at"] = s["hi"]
             first = False
-        turns.append([(n, s["dim"], base[s["dim"]], span[s["dim"]], s["at"], n + width[n] // 2) for n, s in state.items()])
-        rows = _turn(rows, turns[-1])
+        turns.append({n: (s["dim"], s["at"], n + width[n] // 2) for n, s in state.items()})
         width = {m: k for n, k in width.items() for m, k in (((n, k // 2), (n + k // 2, k - k // 2)) if k > 1 else ((n, k),))}
-    points = reduce(_turn, turns, points.withColumn("node", F.lit(0)))
-    homes = literal_table(docs.sparkSession, sorted(home.items()), "atom int, home int")
-    points = points.join(F.broadcast(homes), "atom", "left").withColumn("shard", F.coalesce("home", "node"))
-    return points.drop("atom", "node", "home"), count
-
-
-def _turn(rows: DataFrame, splits: list[tuple]) -> DataFrame:
-    """Rows one level down: those from the split on go right."""
-    seen = _with(rows, splits, "at long, right int")
-    node = F.when(_key() >= F.col("at"), F.col("right")).otherwise(F.col("node"))
-    return seen.withColumn("node", node).drop("dim", "base", "span", "at", "right")
+    homes = [home.get(a, "NULL") for a in range(max(home, default=-1) + 1)]
+    own = F.expr(f"get(array({', '.join(map(str, homes))}), atom)") if homes else F.lit(None)
+    points = points.withColumn("shard", F.coalesce(own.cast("int"), _walk(turns, F.lit)))
+    return points.drop("atom", *[f"k{d}" for d in _DIMS]), count
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, per_bucket: int = 1024) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.llm import avi, common, decontaminate, entries, html_text, langid, mixing, pii, toxicity
+from inkveil.llm import avi, common, decontaminate, entries, html_text, kd_shards, langid, mixing, pii, toxicity
 
 DATA = "/root/testdata"
 
@@ -131,3 +131,17 @@ def test_clips_query(spark):
         first[r.doc_id] = r.last + 1
     size = {r.doc_id: max(1, -(-len((r.text or "").encode()) // 576)) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
     assert first == size
+
+
+def test_tree_of_shards_is_no_chain_of_joins(spark):
+    """Splits are compared within a row: a plan of a broadcast for each filled the driver's memory."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    plan = kd_shards.shard_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Broadcast") <= 4 and plan.count("Join") <= 4 and "Generate" not in plan
+
+
+def test_walk_leads_to_the_node_of_the_keys(spark):
+    turns = [{0: (0, 5, 2)}, {0: (1, -1, 1), 2: (0, 1 << 62, 3)}]
+    rows = spark.createDataFrame([(4, -2), (4, -1), (5, -2), (5, 9)], "k0 long, k1 long")
+    assert [r[0] for r in rows.select(kd_shards._walk(turns, F.lit)).collect()] == [0, 1, 2, 2]
+    assert [r[0] for r in rows.select(kd_shards._walk([], F.lit)).collect()] == [0] * 4
