@@ -121,12 +121,31 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, shards: int, per_bucket: int = 1024, most_sources: int = 100_000) -> DataFrame:
+def running(rows: DataFrame, cells: list[str], size: str, order: list, whole: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``__stop``, the sum of ``size`` up to and with a row of its source, and the sums of ``whole`` over the source.
+
+    The order is that of ``cells``, of which the first is the source, and within one that of
+    ``order``.  Prefix sums are taken in the cells and shifted by the cells before, so that no
+    task holds a whole source.
+    """
+    source = Window.partitionBy(cells[0])
+    per = rows.groupBy(*cells).agg(F.sum(size).alias("__w"), *[F.sum(c).alias(f"__all{c}") for c in whole])
+    before = (F.sum("__w").over(source.orderBy(*cells[1:])) - F.col("__w")).alias("__before")
+    per = cut(per.select(*[F.col(c).alias(f"{c}2") for c in cells], before, *[F.sum(f"__all{c}").over(source).alias(f"__all{c}") for c in whole]))
+    inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col(cells[0]).eqNullSafe(F.col(f"{cells[0]}2"))
+    for c in cells[1:]:
+        same = same & (F.col(c) == F.col(f"{c}2"))
+    rows = rows.withColumn("__in", F.sum(size).over(inside)).join(per, same)
+    return rows.withColumn("__stop", F.col("__before") + F.col("__in")).drop(*[f"{c}2" for c in cells], "__before", "__in")
+
+
+def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, shards: int, per_bucket: int = 1024, most_sources: int = 100_000, ties: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` (doc_id, source, size, ...) with the range [start, stop) of their source's stream and the source's plan.
 
-    Prefix sums are taken in hashed buckets of a source and shifted by the buckets before,
-    so that no task holds a whole source.  The totals of the sources are planned on the
-    driver; more than ``most_sources`` are refused rather than left out.
+    Prefix sums are taken in hashed buckets of a source; ``ties`` order rows of one doc_id and
+    size.  The totals of the sources are planned on the driver; more than ``most_sources`` are
+    refused rather than left out.
     """
     rows = rows.withColumn("__p", F.xxhash64(F.lit(seed), "doc_id", "size"))
     lean = rows.select(F.col("source").cast("string").alias("source"), "size", "__p")
@@ -143,12 +162,8 @@ def streams(rows: DataFrame, share: float, most: float, block: int, seed: int, s
     rows = rows.join(F.broadcast(small), F.col("source").cast("string").eqNullSafe(F.col("__s")))
     place = F.expr("cast(floor((shiftrightunsigned(__p, 34)) / double(1073741824) * buckets) as long)")
     rows = rows.withColumn("__b", place)
-    per = rows.groupBy("__s", "__b").agg(F.sum("size").alias("__w"))
-    per = cut(per.withColumn("__before", F.sum("__w").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__w")).select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), "__before"))
-    order = Window.partitionBy("__s", "__b").orderBy(F.expr("shiftrightunsigned(__p, 1)"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__in", F.sum("size").over(order)).join(per, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
-    stop = F.col("__before") + F.col("__in")
-    return rows.withColumn("stop", stop).withColumn("start", stop - F.col("size")).drop("__s2", "__b2", "__before", "__in", "__w", "__p")
+    rows = running(rows, ["__s", "__b"], "size", [F.expr("shiftrightunsigned(__p, 1)"), "doc_id", "size", *ties])
+    return rows.withColumnRenamed("__stop", "stop").withColumn("start", F.col("stop") - F.col("size")).drop("__p", *ties)
 
 
 def _pieces(block: int) -> Column:
@@ -174,13 +189,17 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128
     agree; other columns are ignored; an empty table gives no rows.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")))
-    rows = streams(rows, share, most, block, seed, shards)
+    rows = _drawn(streams(rows, share, most, block, seed, shards), block, shards)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "shard_words")
+
+
+def _drawn(rows: DataFrame, block: int, shards: int) -> DataFrame:
+    """``rows`` of ``streams`` with ``shard_words`` and ``taken``, their sum: what the draw takes of a row."""
     rows = rows.withColumn("__pieces", _pieces(block))
     # One pass over the pieces of a row, which are so built once.
     add = "transform(n, (w, s) -> if(s = p.shard, w + p.to - p.from, w))"
     words = F.expr(f"aggregate(coalesce(__pieces, array()), array_repeat(0L, {shards}), (n, p) -> {add})")
-    rows = rows.withColumn("shard_words", words)
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(shard_words, 0L, (n, w) -> n + w)").alias("taken"), "shard_words")
+    return rows.withColumn("shard_words", words).withColumn("taken", F.expr("aggregate(shard_words, 0L, (n, w) -> n + w)"))
 
 
 def pieces(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17, shards: int = 16) -> DataFrame:
@@ -196,17 +215,31 @@ def pieces(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int =
     return rows.select("p.shard", place, "doc_id", "source", F.expr("p.from - start").alias("first_word"), F.expr("p.to - p.from").alias("n_words"))
 
 
-def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17) -> DataFrame:
-    """Whole rows of ``docs``, as often as the mix takes them: every round, and once more along the stream while the target lasts.
+def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 17, shards: int = 16, per_bucket: int = 1024) -> DataFrame:
+    """Whole rows of ``docs``: the draw of ``mix``, rounded to whole rows within each source.
 
-    The row that the target's end falls in is taken if more than half of it lies before, so a
-    source misses its target by half of one row at most; a source of which no row were left
-    keeps its first.  Texts without words come with whole rounds alone; repeated rows are taken each on its
-    own; columns of any name pass through; an empty table gives no rows.
+    A row comes as often as the tree's draw takes all its words.  The words that it takes of
+    rows in part go to whole ones of these, first those of which it takes most (by eighths,
+    then by a hash), until they are used up; the last is taken if more than half of it is
+    covered, so a source misses its drawn words by half of one row at most; a source of which
+    no row were left keeps the first.  Texts without words come with whole rounds alone; repeated
+    rows are taken each on its own; columns of any name pass through; an empty table gives no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), row)
-    rows = streams(rows, share, most, block, seed, 1)
-    again = F.expr("CASE WHEN 2 * start + size < 2 * left OR (rounds = 0 AND left > 0 AND start = 0 AND size > 0) THEN 1L ELSE 0L END")
-    rows = rows.withColumn("__copies", F.col("rounds") + again).filter("__copies > 0")
-    return rows.select("__row", F.expr("explode(sequence(1L, __copies))")).select("__row.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.xxhash64("text").alias("__t"), row)
+    rows = _drawn(streams(rows, share, most, block, seed, shards, per_bucket, ties=("__t",)), block, shards)
+    some = "(size > 0 AND taken % size > 0)"
+    rows = rows.select(
+        "__row", "__s", "size", "start",
+        F.expr("CASE WHEN size > 0 THEN taken div size WHEN blocks > 0 THEN least(rounds, element_at(ends, -1) div blocks) ELSE 0L END").alias("__copies"),
+        F.expr("CASE WHEN size > 0 THEN taken div size ELSE 0L END").alias("__full"),
+        F.expr(f"CASE WHEN {some} THEN taken % size ELSE 0L END").alias("__part"),
+        F.expr(f"CASE WHEN {some} THEN size ELSE 0L END").alias("__size"),
+        F.expr(f"CASE WHEN {some} THEN 8 - taken % size * 8 div size ELSE 9L END").alias("__class"),
+        F.xxhash64(F.lit(seed + 2), "start").alias("__p"),
+        F.expr(f"pmod(xxhash64({seed + 3}, start), buckets)").alias("__b"),
+    )
+    rows = running(rows, ["__s", "__class", "__b"], "__size", ["__p", "start"], ("__full", "__part"))
+    again = "__part > 0 AND (2 * __stop - __size < 2 * __all__part OR (__all__full = 0 AND __stop = __size))"
+    copies = F.expr(f"__copies + CASE WHEN {again} THEN 1L ELSE 0L END").alias("__n")
+    return rows.select("__row", copies).filter("__n > 0").select("__row", F.expr("explode(sequence(1L, __n))")).select("__row.*")

@@ -375,3 +375,25 @@ def test_enough_tables():
     m, half = (inspect.signature(near_dedup.near_duplicates).parameters[k].default for k in ("m", "half"))
     assert 2 * (1 - 0.75**half) ** m <= 1.05e-4
     assert inspect.signature(near_dedup.signatures).parameters["m"].default == m
+
+
+def test_mix_documents_follows_the_draw(spark, docs, monkeypatch):
+    """Whole rows come as often as the tree's draw takes them, but for rows that it takes in part."""
+    drawn = Counter()
+    for r in mixing.mix(docs).filter("size > 0").collect():
+        drawn[r.doc_id, r.size, r.source] += r.taken
+    rows = Counter((r.doc_id, len(words(r.text)), r.source) for r in docs.collect())
+    got = Counter((r.doc_id, len(words(r.text)), r.source) for r in mixing.mix_documents(docs).collect())
+    assert all(abs(got[k] - drawn[k] / k[1]) < n for k, n in rows.items() if k[1])
+    most = Counter()
+    for k in rows:
+        most[k[2]] = max(most[k[2]], k[1])
+    for s in most:
+        assert abs(sum(n * k[1] for k, n in got.items() if k[2] == s) - sum(n for k, n in drawn.items() if k[2] == s)) <= most[s] / 2
+    # The tree decides: with half of its quotas less is taken, and without them nothing.
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a) // 2)
+    half = Counter((r.doc_id, len(words(r.text)), r.source) for r in mixing.mix_documents(docs).collect())
+    assert sum(n * k[1] for k, n in half.items()) < 0.6 * sum(n * k[1] for k, n in got.items())
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a) * 0)
+    assert not mixing.mix_documents(docs).collect()

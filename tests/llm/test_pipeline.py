@@ -116,3 +116,11 @@ def test_run(spark, folder):
     for name in ("toxicity", "near_dedup", "decontamination", "mixing"):
         table = stages[name](spark, table, folder)
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in table.collect())
+
+
+def test_mixing_decides_what_is_sharded(spark, docs, folder):
+    """What the mix takes twice or not at all has two slots or none."""
+    mixed = pipe.mix_sources(spark, docs, folder)
+    with_mix, without = (Counter((r.doc_id, r.text_crc32) for r in pipe.shard(spark, d, folder).collect()) for d in (mixed, docs))
+    assert with_mix == Counter((r.doc_id, r.c) for r in mixed.selectExpr("doc_id", "crc32(cast(coalesce(text, '') AS binary)) AS c").collect())
+    assert any(with_mix[k] > n for k, n in without.items()) and any(with_mix[k] < n for k, n in without.items())
